@@ -181,7 +181,8 @@ def with_points(df: DataFrame, sd: float, columns: Sequence[str] = ("estimate",
 
 def round_columns(df: DataFrame, columns: Iterable[str], digits: int) -> DataFrame:
     wanted = set(columns)
-    return df.select(*[F.round(c, digits).alias(c) if c in wanted else F.col(c) for c in df.columns])
+    quoted = {c: F.col(f"`{c}`") for c in df.columns}
+    return df.select(*[F.round(q, digits).alias(c) if c in wanted else q for c, q in quoted.items()])
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estratia import fixed_values as V
-from estratia.sources.editions import EditionSource
-from estratia.sources.workspace import stage
+from estratia.sources.editions import EditionSource, read_edition
+from estratia.sources.workspace import stage_path
 
 EDITION_OF_YEAR = {1996: 2018, 1998: 2022, 2000: 2025}
 
@@ -175,8 +175,9 @@ def school_file(spark: SparkSession, sf_dir: str, edition: int) -> DataFrame | N
 
 def edition_source(spark: SparkSession, sf_dir: str, edition: int) -> EditionSource:
     """The edition's files, written once per application as the stage tables they stand for."""
-    students = stage(spark, f"{sf_dir}/students-{edition}", lambda: student_file(spark, sf_dir, edition))
+    students = stage_path(spark, f"{sf_dir}/students-{edition}", lambda: student_file(spark, sf_dir, edition))
     schools = None
     if edition != 2018:
-        schools = stage(spark, f"{sf_dir}/schools-{edition}", lambda: school_file(spark, sf_dir, edition))
-    return EditionSource(students, value_labels(spark, edition), schools)
+        path = stage_path(spark, f"{sf_dir}/schools-{edition}", lambda: school_file(spark, sf_dir, edition))
+        schools = read_edition(spark, path)
+    return EditionSource(read_edition(spark, students), value_labels(spark, edition), schools)

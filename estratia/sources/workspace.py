@@ -52,13 +52,20 @@ def materialise(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.parquet(path).select(*df.columns)
 
 
-def stage(
+def stage_path(
     spark: SparkSession, key: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
-) -> DataFrame:
-    """The stage table of this key, written on first use in this application."""
+) -> str:
+    """Path of the stage table of this key, written on first use in this application."""
     slot = (spark.sparkContext.applicationId, key)
     if slot not in _STAGES:
         path = f"{shared_folder(spark)}/estratia/{slot[0]}/{uuid.uuid4().hex}"
         write_stage(build(), path, partition_by)
         _STAGES[slot] = path
-    return spark.read.parquet(_STAGES[slot])
+    return _STAGES[slot]
+
+
+def stage(
+    spark: SparkSession, key: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
+) -> DataFrame:
+    """The stage table of this key."""
+    return read_stage(spark, stage_path(spark, key, build, partition_by))
