@@ -11,7 +11,8 @@ from estratia import fixed_values as V
 from estratia.functions import columns as C
 from estratia.operators import aggregates as A
 from estratia.operators.joins import star
-from estratia.plans import composition, design, panel, thresholds
+from estratia.operators import factors
+from estratia.plans import composition, design, multilevel, panel, thresholds
 from estratia.sources import demo
 from estratia.sources.editions import EditionSource
 from estratia.sources.workspace import stage
@@ -32,6 +33,9 @@ SELECT CASE o_orderkey % 3 WHEN 0 THEN 2018 WHEN 1 THEN 2022 ELSE 2025 END AS ye
        5e-1 + (o_totalprice % 700) / 7e3 AS residual
 FROM orders"""
 
+_FITS: dict[tuple[str, ...], multilevel.Fit] = {}
+_SCALES: dict[tuple[str, str], tuple[float, float]] = {}
+
 
 @dataclass(frozen=True)
 class Study:
@@ -77,6 +81,24 @@ class Study:
             lambda: thresholds.schools_with_members(self.pooled, panel.school_type(panel.school_language(self.pooled))),
         )
 
+    @property
+    def scale(self) -> tuple[float, float]:
+        """Mean and deviation of the pooled scores, worked out once and used by every model."""
+        slot = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if slot not in _SCALES:
+            _SCALES[slot] = factors.score_scale(self.long, "score")
+        return _SCALES[slot]
+
+    def fit(self, kind: str, strata: str = "strata") -> multilevel.Fit:
+        """A saved fit: what is read off it later needs no refit."""
+        slot = (self.spark.sparkContext.applicationId, self.sf_dir, kind, strata)
+        if slot not in _FITS:
+            _FITS[slot] = multilevel.fit(self.long, kind, strata, scale=self.scale)
+        return _FITS[slot]
+
+    def fitted_draws(self, kind: str, strata: str = "strata") -> DataFrame:
+        return multilevel.variance_draws(self.fit(kind, strata))
+
     @property
     def draws(self) -> DataFrame:
         """Stand-in draws derived from the orders."""
@@ -104,18 +126,28 @@ class Study:
     def raw_effects_in_points(self) -> DataFrame:
         return C.with_points(self.raw_effects(), 100.0)
 
+    def raw_totals(self) -> DataFrame:
+        """Plain gap between incongruent and congruent rows by school type, as a term table."""
+        rows = design.model_rows(self.long)
+        gaps = _gap(rows, ["year", "centro_especializacion"])
+        return C.with_points(
+            gaps.select(
+                "year",
+                F.concat(F.lit("total_incongruente_"), "centro_especializacion").alias("term"),
+                F.col("gap").alias("estimate"),
+                (F.col("gap") - F.col("half")).alias("ci_low"),
+                (F.col("gap") + F.col("half")).alias("ci_high"),
+            ),
+            100.0,
+        )
+
     def raw_slopes(self) -> DataFrame:
         """Schools' plain gap between incongruent and congruent rows in the ranking's columns."""
         rows = design.model_rows(self.long)
         inc = F.col("congruencia_linguistica") == "incongruente"
         key = ["year", "global_school_id"]
-        moments = {}
-        for tag, cond in (("i", inc), ("c", ~inc)):
-            value = F.when(cond, F.col("score_z"))
-            moments.update({f"m{tag}": F.avg(value), f"v{tag}": F.var_samp(value), f"n{tag}": F.count(value)})
-        half = F.lit(1.96) * F.sqrt(F.col("vi") / F.nullif(F.col("ni"), F.lit(0)) + F.col("vc") / F.nullif(F.col("nc"), F.lit(0)))
-        gap = F.col("mi") - F.col("mc")
-        slopes = rows.groupBy(*key).agg(*[m.alias(n) for n, m in moments.items()]).select(
+        gap, half = F.col("gap"), F.col("half")
+        slopes = _gap(rows, key).select(
             *key,
             (gap * 100.0).alias("slope_puntos"),
             ((gap - half) * 100.0).alias("ci_low_puntos"),
@@ -127,3 +159,16 @@ class Study:
         return ranked.withColumn("n_incongruentes", F.coalesce("n_incongruentes", F.lit(0))).withColumn(
             "positivo_significativo", F.col("ci_low_puntos") > 0
         )
+
+
+def _gap(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Difference of the plain means of incongruent and congruent rows, and half its interval."""
+    inc = F.col("congruencia_linguistica") == "incongruente"
+    moments = []
+    for tag, cond in (("i", inc), ("c", ~inc)):
+        value = F.when(cond, F.col("score_z"))
+        n = F.nullif(F.count(value), F.lit(0))
+        moments += [F.avg(value).alias(f"m{tag}"), (F.var_samp(value) / n).alias(f"v{tag}")]
+    return rows.groupBy(*by).agg(*moments).select(
+        *by, (F.col("mi") - F.col("mc")).alias("gap"), (F.lit(1.96) * F.sqrt(F.col("vi") + F.col("vc"))).alias("half")
+    )

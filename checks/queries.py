@@ -960,8 +960,8 @@ _MIX_KNOWN = _share_sql(
     ),
 )
 def _(s: Study):
-    known = s.students.filter(F.col("stu_wgt").isNotNull())
-    return composition.school_type_mix(s.students).withColumn("known_weights", F.lit(False)).unionByName(
+    known = s.prep.filter(F.col("stu_wgt").isNotNull())
+    return composition.school_type_mix(s.prep).withColumn("known_weights", F.lit(False)).unionByName(
         composition.school_type_mix(known).withColumn("known_weights", F.lit(True))
     )
 
@@ -1374,6 +1374,17 @@ def _(s: Study):
     return design.normal_equations(design.cells(design.model_rows(s.long)), active)
 
 
+@query(
+    "m06b_right_hand_side",
+    over_effects(
+        "SELECT year, i, round(sum(stu_wgt * score_z), 6) AS value FROM (SELECT year, stu_wgt, score_z, unnest(active) AS i FROM termed) GROUP BY ALL"
+    ),
+)
+def _(s: Study):
+    active = design.active_terms(design.term_conditions())
+    return design.right_hand_side(design.cells(design.model_rows(s.long)), active)
+
+
 @query("m12_vpc_by_domain", over_draws(f"SELECT year, domain, {_interval('vpc')} FROM vpc5"))
 def _(s: Study):
     return variance.vpc_by_domain(s.draws_of("null"))
@@ -1458,6 +1469,26 @@ def _(s: Study):
     return reports.interaction_table(s.raw_effects_in_points()).drop("efecto")
 
 
+_TOTALS = f"""{_MODEL},
+totals AS (
+  SELECT year, centro_especializacion,
+         avg(score_z) FILTER (congruencia_linguistica = 'incongruente') - avg(score_z) FILTER (congruencia_linguistica = 'congruente') AS gap,
+         1.96 * sqrt(var_samp(score_z) FILTER (congruencia_linguistica = 'incongruente') / nullif(count(*) FILTER (congruencia_linguistica = 'incongruente'), 0)
+              + var_samp(score_z) FILTER (congruencia_linguistica = 'congruente') / nullif(count(*) FILTER (congruencia_linguistica = 'congruente'), 0)) AS half
+  FROM model_rows GROUP BY ALL)"""
+
+
+@query(
+    "q06_total_effect_by_type",
+    over_long("").rstrip("\n")
+    + f",\n{_TOTALS}\nSELECT year, {_TYPE_LABEL.format('centro_especializacion')} AS tipo_centro, {r('gap * 100', 'estimate_puntos')}, "
+    f"{r('(gap - half) * 100', 'ci_low_puntos')}, {r('(gap + half) * 100', 'ci_high_puntos')}, "
+    f"{_SIG.format('gap - half', 'gap + half')} AS sig FROM totals",
+)
+def _(s: Study):
+    return reports.total_effect_table(s.raw_totals()).drop("efecto")
+
+
 @query("q07_ownership_effect", _effect_sql("ownership"))
 def _(s: Study):
     return _effect_rows(s, "ownership")
