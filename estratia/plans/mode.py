@@ -65,18 +65,27 @@ class System:
     n_strata: int
     n_regions: int
     grid: Grid | None = None
-    absorbed: np.ndarray | None = None  # (nodes, q, q)
-    absorbed_rhs: np.ndarray | None = None  # (nodes, q)
-    absorbed_yy: np.ndarray | None = None  # (nodes,)
-    log_det: np.ndarray | None = None  # (nodes,)
-
-    @property
-    def strata(self) -> slice:
-        return slice(self.n_fixed, self.n_fixed + D * self.n_strata)
-
-    @property
-    def regions(self) -> slice:
-        return slice(self.strata.stop, self.strata.stop + self.n_regions)
+    absorbed: np.ndarray | None = None  # upper triangles of the cross-products, one row a node
+    absorbed_rhs: np.ndarray | None = None
+    absorbed_yy: np.ndarray | None = None
+    log_det: np.ndarray | None = None
+
+    def __post_init__(self):
+        q = len(self.rhs)
+        self.upper = np.triu_indices(q)
+        self.flat = self.upper[0] * q + self.upper[1]
+        self.mirror = self.upper[1] * q + self.upper[0]
+        self.twice = np.where(self.upper[0] == self.upper[1], 1.0, 2.0)
+        self.fixed_at = np.arange(self.n_fixed)
+        rows = self.n_fixed + D * np.arange(self.n_strata)[:, None, None]
+        self.block_rows = rows + np.arange(D)[None, :, None]
+        self.block_columns = rows + np.arange(D)[None, None, :]
+        self.region_at = np.arange(self.n_fixed + D * self.n_strata, q)
+
+    def set_table(self, grid: Grid, triangles, rhs, yy, log_det) -> None:
+        """The absorbed sums at the nodes of a grid."""
+        self.grid, self.absorbed, self.absorbed_rhs = grid, triangles, rhs
+        self.absorbed_yy, self.log_det = yy, log_det
 
 
 def cholesky_factor(t: np.ndarray) -> np.ndarray:
@@ -104,17 +113,16 @@ def evaluate(s: System, te: float, x: np.ndarray, tr: float, chol: np.ndarray) -
     q, m = len(s.rhs), len(x)
     s2 = np.exp(2 * te)
     w, dw = s.grid.weights(x)
-    tab = s.absorbed.reshape(len(w), -1)
     factor = cholesky_factor(chol)
     precision = np.linalg.inv(factor @ factor.T)
-    prior = np.zeros((q, q))
-    prior[range(s.n_fixed), range(s.n_fixed)] = V.FIXED_PRECISION
-    st = s.strata
-    prior[st, st] = np.kron(np.eye(s.n_strata), precision)
-    if s.n_regions:
-        idx = np.arange(s.regions.start, s.regions.stop)
-        prior[idx, idx] = np.exp(-2 * tr)
-    c = s.gram - (w @ tab).reshape(q, q) + s2 * prior
+    c = s.gram.copy()
+    packed = w @ s.absorbed
+    flat = c.reshape(-1)
+    flat[s.flat] -= packed
+    flat[s.mirror] = flat[s.flat]
+    c[s.fixed_at, s.fixed_at] += s2 * V.FIXED_PRECISION
+    c[s.block_rows, s.block_columns] += s2 * precision
+    c[s.region_at, s.region_at] += s2 * np.exp(-2 * tr)
     rhs = s.rhs - w @ s.absorbed_rhs
     lower = np.linalg.cholesky(c)
     inverse = np.linalg.inv(c)
@@ -137,21 +145,23 @@ def evaluate(s: System, te: float, x: np.ndarray, tr: float, chol: np.ndarray) -
     )
 
     curve = np.outer(theta, theta) / s2 + inverse
+    blocks = curve[s.block_rows, s.block_columns].sum(axis=0)
+    region_trace = np.exp(-2 * tr) * curve[s.region_at, s.region_at].sum()
+    prior_part = V.FIXED_PRECISION * curve[s.fixed_at, s.fixed_at].sum() + np.sum(blocks * precision) + region_trace
     d_te = (
-        s.weight - misfit - (s.n_schools * m + q) + s2 * np.sum(curve * prior) + s.n_schools * m
+        s.weight - misfit - (s.n_schools * m + q) + s2 * prior_part + s.n_schools * m
         - np.sum(1 - SD_RATE * np.exp(tv)) + 2 * a - 2 * b * np.exp(-2 * te)
     )
+    on_nodes = s.absorbed @ (curve.reshape(-1)[s.flat] * s.twice)
     d_x = np.zeros(m)
     for d in range(m):
-        ab = (dw[d] @ tab).reshape(q, q)
-        quad = -(dw[d] @ s.absorbed_yy) + 2 * theta @ (dw[d] @ s.absorbed_rhs) - theta @ ab @ theta
-        d_x[d] = 0.5 * (quad / s2 + dw[d] @ s.log_det - np.sum(inverse * ab)) - 0.5 * s.n_schools
+        moved = (2 * theta @ (dw[d] @ s.absorbed_rhs) - dw[d] @ s.absorbed_yy) / s2
+        d_x[d] = 0.5 * (moved + dw[d] @ s.log_det - dw[d] @ on_nodes) - 0.5 * s.n_schools
         d_x[d] += 0.5 * (1 - SD_RATE * np.exp(tv[d]))
     d_tr = 0.0
     if s.n_regions:
-        d_tr = -s2 * np.exp(-2 * tr) * np.trace(curve[s.regions, s.regions]) + s.n_regions - 1 + SD_RATE * np.exp(tr)
-    blocks = curve[st, st].reshape(s.n_strata, D, s.n_strata, D)
-    total = s2 * np.einsum("kikj->ij", blocks) + V.STRATA_PRIOR_SCALE * np.eye(D)
+        d_tr = -s2 * region_trace + s.n_regions - 1 + SD_RATE * np.exp(tr)
+    total = s2 * blocks + V.STRATA_PRIOR_SCALE * np.eye(D)
     d_omega = 0.5 * (-precision @ total @ precision + (s.n_strata + df + D + 1) * precision)
     d_factor = 2 * d_omega @ factor
     d_chol = np.array([d_factor[i, j] * (factor[i, i] if i == j else 1.0) for i, j in LOWER]) - jacobian
@@ -204,14 +214,18 @@ def find_mode(s: System, t0: np.ndarray, tolerance: float = 1e-5, limit: int = 2
         g = np.concatenate([[p.d_te], p.d_x * half * (1 - np.tanh(u) ** 2), [p.d_tr] if s.n_regions else [], p.d_chol])
         return p, g
 
+    # rough curvature of each parameter, so that first steps have about the right length
+    rough = [2 * s.weight, *[0.5 * s.n_schools * half**2] * m, *([2 * s.n_regions] if s.n_regions else [])]
+    rough += [2 * s.n_strata if i == j else 10 * s.n_strata for i, j in LOWER]
+    scale_of = np.diag(1 / np.maximum(1.0, rough))
     z = to_search(t0)
     point, g = at(z)
-    h = np.eye(len(z)) / max(1.0, np.linalg.norm(g))
+    h = scale_of
     done, used = False, 0
     for used in range(1, limit + 1):
         step = -h @ g
         if g @ step >= 0:
-            h = np.eye(len(z)) / max(1.0, np.linalg.norm(g))
+            h = scale_of
             step = -h @ g
         step *= min(1.0, 2.0 / np.max(np.abs(step)))
         scale, accepted = 1.0, False

@@ -12,7 +12,7 @@ their number, and all editions are fitted from the same passes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,14 +26,14 @@ from estratia.operators import aggregates as A
 from estratia.operators import factors
 from estratia.operators.joins import star
 from estratia.operators.order import global_row_number
-from estratia.plans import design
-from estratia.plans.mode import Grid, Mode, System, find_mode, start
+from estratia.plans import design, tasks
+from estratia.plans.mode import Grid, Mode, System, cholesky_factor, find_mode, start
+from estratia.plans.variance import COMPONENTS
 from estratia.sources.workspace import materialise
 
 MAX_COLUMNS = 2_000
 MAX_PASSES = 6
 SCHOOLS_PER_TASK = 20_000
-BLOCK_ROWS = 64
 PARTIALS_PER_SUM = 64
 Z95 = 1.959963984540054
 
@@ -142,104 +142,42 @@ def school_rows(cell_rows: DataFrame, active: Column, slope: bool) -> DataFrame:
     )
 
 
-def _dense(part: pd.DataFrame, n_columns: int, slope: bool, scale: float):
-    """Schools of a batch as dense sums by column, own weights and own responses."""
-    sizes = part["j"].map(len).to_numpy()
-    at = np.repeat(np.arange(len(part)), sizes), np.concatenate(part["j"].to_numpy()).astype(int)
-    a = np.zeros((len(part), n_columns))
-    a[at] = np.concatenate(part["a"].to_numpy()) * scale
-    d, r = part["d"].to_numpy() * scale, part["r"].to_numpy() * scale
-    if not slope:
-        return [a], [d], [r]
-    b = np.zeros_like(a)
-    b[at] = np.concatenate(part["b"].to_numpy()) * scale
-    return [a, b], [d, part["d1"].to_numpy() * scale], [r, part["r1"].to_numpy() * scale]
-
-
-def _inverse(d: list[np.ndarray], ratios: np.ndarray):
-    """Inverse of each school's own block and the log of its determinant."""
-    if len(d) == 1:
-        own = d[0] + ratios[0]
-        return {(0, 0): 1 / own}, np.log(own)
-    d0, d1 = d
-    det = (d0 + ratios[0]) * (d1 + ratios[1]) - d1 * d1
-    return {(0, 0): (d1 + ratios[1]) / det, (1, 1): (d0 + ratios[0]) / det, (0, 1): -d1 / det}, np.log(det)
-
-
-def _absorb(n_columns: int, slope: bool, nodes: Mapping[int, np.ndarray], scales: Mapping[int, float]):
-    """Task that adds up the absorbed sums of its schools at every node of their edition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, tuple] = {}
-        for batch in batches:
-            for year, part in batch.groupby("year"):
-                if year not in nodes:
-                    continue
-                k = len(nodes[year])
-                if year not in totals:
-                    totals[year] = np.zeros((k, n_columns, n_columns)), np.zeros((k, n_columns + 3))
-                big, small = totals[year]
-                a, d, r = _dense(part, n_columns, slope, scales[year])
-                for i, x in enumerate(nodes[year]):
-                    h, log_det = _inverse(d, np.exp(x))
-                    for (e, f), weight in h.items():
-                        times = 1 if e == f else 2
-                        cross = (a[e] * weight[:, None]).T @ a[f]
-                        big[i] += cross if e == f else cross + cross.T
-                        small[i, n_columns] += times * np.sum(r[e] * weight * r[f])
-                        small[i, :n_columns] += a[e].T @ (weight * r[f])
-                        if e != f:
-                            small[i, :n_columns] += a[f].T @ (weight * r[e])
-                    small[i, n_columns + 1] += log_det.sum()
-                    small[i, n_columns + 2] += len(part)
-        for year, (big, small) in totals.items():
-            for i in range(len(big)):
-                yield pd.DataFrame({"year": [year], "node": [i], "block": [-1], "payload": [small[i].tobytes()]})
-                for block, first in enumerate(range(0, n_columns, BLOCK_ROWS)):
-                    piece = big[i, first : first + BLOCK_ROWS]
-                    yield pd.DataFrame({"year": [year], "node": [i], "block": [block], "payload": [piece.tobytes()]})
-
-    return run
-
-
-def _add_payloads(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(p) for p in pdf["payload"]], axis=0)
-    return pd.DataFrame(
-        {"year": pdf["year"].iloc[:1], "node": pdf["node"].iloc[:1], "block": pdf["block"].iloc[:1], "payload": [total.tobytes()]}
-    )
-
-
-PARTIAL_SCHEMA = "year int, node int, block int, payload binary"
+PARTIAL_SCHEMA = "year int, node int, chunk int, payload binary"
 
 
 def _tabulate(
-    rows: DataFrame, tasks: int, n_columns: int, slope: bool, nodes: Mapping[int, np.ndarray], scales: Mapping[int, float]
-) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    rows: DataFrame, n_tasks: int, n_columns: int, slope: bool, nodes: Mapping[int, np.ndarray], scales: Mapping[int, float]
+) -> dict[int, np.ndarray]:
     """One pass over the school rows: absorbed sums by edition and node.
 
     Partial sums meet in two steps when there are many tasks, so that no task adds up more than
-    a bounded number of blocks; the driver receives model-sized sums.
+    a bounded number of chunks; the driver receives model-sized sums.
     """
-    partial = rows.mapInPandas(_absorb(n_columns, slope, nodes, scales), PARTIAL_SCHEMA)
-    if tasks > PARTIALS_PER_SUM:
-        partial = partial.withColumn("_s", F.spark_partition_id() % math.ceil(math.sqrt(tasks)))
-        partial = partial.groupBy("year", "node", "block", "_s").applyInPandas(_add_payloads, PARTIAL_SCHEMA)
-    if tasks > 1:
-        partial = partial.groupBy("year", "node", "block").applyInPandas(_add_payloads, PARTIAL_SCHEMA)
-    result = {
-        y: (np.zeros((len(x), n_columns, n_columns)), np.zeros((len(x), n_columns + 3))) for y, x in nodes.items()
-    }
-    for row in partial.toLocalIterator():
-        big, small = result[row["year"]]
-        values = np.frombuffer(row["payload"])
-        if row["block"] < 0:
-            small[row["node"]] = values
-        else:
-            first = row["block"] * BLOCK_ROWS
-            big[row["node"], first : first + BLOCK_ROWS] = values.reshape(-1, n_columns)
+    partial = rows.mapInPandas(tasks.absorb(n_columns, slope, nodes, scales), PARTIAL_SCHEMA)
+    if n_tasks > PARTIALS_PER_SUM:
+        partial = partial.withColumn("_s", F.spark_partition_id() % math.ceil(math.sqrt(n_tasks)))
+        partial = partial.groupBy("year", "node", "chunk", "_s").applyInPandas(tasks.add_chunks, PARTIAL_SCHEMA)
+    if n_tasks > 1:
+        partial = partial.groupBy("year", "node", "chunk").applyInPandas(tasks.add_chunks, PARTIAL_SCHEMA)
+    length = n_columns * (n_columns + 1) // 2 + n_columns + 2
+    result = {y: np.zeros((len(x), length)) for y, x in nodes.items()}
+    received = partial.toArrow().to_pydict()
+    for year, node, chunk, payload in zip(*(received[c] for c in ("year", "node", "chunk", "payload"))):
+        values = np.frombuffer(payload)
+        result[year][node, chunk * tasks.CHUNK : chunk * tasks.CHUNK + len(values)] = values
     return result
 
 
+def _set_table(system: System, grid: Grid, table: np.ndarray, n_columns: int, kept: np.ndarray) -> None:
+    """Absorbed sums of the kept columns, packed, into an edition's system."""
+    size = n_columns * (n_columns + 1) // 2
+    where = np.zeros((n_columns, n_columns), dtype=int)
+    where[np.triu_indices(n_columns)] = np.arange(size)
+    chosen = where[np.ix_(kept, kept)][system.upper]
+    rhs, rest = table[:, size : size + n_columns][:, kept], table[:, size + n_columns :]
+    system.set_table(grid, np.ascontiguousarray(table[:, chosen]), rhs, rest[:, 0], rest[:, 1])
+
+
 def _dense_gram(triples: pd.DataFrame, rhs: pd.DataFrame, n_columns: int, scale: float):
     gram = np.zeros((n_columns, n_columns))
     gram[triples["i"], triples["j"]] = triples["value"]
@@ -310,8 +248,8 @@ def fit(
     schools = materialise(school_rows(coded, F.col("_active"), slope))
     n_schools = {r["year"]: r["n"] for r in schools.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
     years = [y for y in years if n_schools.get(y)]
-    tasks = max(1, math.ceil(sum(n_schools.values()) / SCHOOLS_PER_TASK))
-    schools = schools.coalesce(tasks) if tasks < 64 else schools
+    n_tasks = max(1, math.ceil(sum(n_schools.values()) / SCHOOLS_PER_TASK))
+    schools = schools.coalesce(n_tasks) if n_tasks < 64 else schools
 
     m = 2 if slope else 1
     prepared: dict[int, tuple[System, np.ndarray, float, float]] = {}
@@ -339,37 +277,31 @@ def fit(
         prepared[y] = system, kept, factor, (w / n if weights == "precision" else 1.0)
 
     t = {y: start(p[3], m, p[0].n_regions) for y, p in prepared.items()}
-    half, order = {y: 4.0 for y in years}, 6 if slope else 10
+    half, order = {y: 4.0 for y in years}, 5 if slope else 10
     modes: dict[int, Mode] = {}
     passes = dict.fromkeys(years, 0)
     open_years = list(years)
     while open_years:
-        nodes = {}
-        for y in open_years:
-            prepared[y][0].grid = Grid(2 * (t[y][0] - t[y][1 : 1 + m]), half[y], order)
-            nodes[y] = prepared[y][0].grid.nodes
-        table = _tabulate(schools, tasks, n_columns, slope, nodes, {y: prepared[y][2] for y in open_years})
+        grids = {y: Grid(2 * (t[y][0] - t[y][1 : 1 + m]), half[y], order) for y in open_years}
+        nodes = {y: grid.nodes for y, grid in grids.items()}
+        table = _tabulate(schools, n_tasks, n_columns, slope, nodes, {y: prepared[y][2] for y in open_years})
         still = []
         for y in open_years:
             system, kept = prepared[y][:2]
-            big, small = table[y]
-            system.absorbed = big[:, kept][:, :, kept]
-            system.absorbed_rhs = small[:, kept]
-            system.absorbed_yy, system.log_det = small[:, n_columns], small[:, n_columns + 1]
+            _set_table(system, grids[y], table[y], n_columns, kept)
             passes[y] += 1
-            final = half[y] <= 1.0
-            modes[y] = find_mode(system, t[y], curvature=final)
+            narrow = half[y] <= 1.0
+            modes[y] = find_mode(system, t[y], *((1e-5,) if narrow else (1e-2,)), curvature=narrow)
             t[y] = modes[y].t
             inside = modes[y].edge < 0.8
-            if passes[y] < MAX_PASSES and not (final and inside):
+            if narrow and inside:
+                continue
+            if passes[y] < MAX_PASSES:
                 still.append(y)
-                if inside:
-                    half[y] = 0.5 if slope else 0.8
-            elif not final or not inside:
+                half[y] = (0.5 if slope else 0.8) if inside else half[y]
+            else:
+                modes[y] = find_mode(system, t[y])
                 modes[y].converged = False
-                if not final:
-                    modes[y] = find_mode(system, t[y])
-                    modes[y].converged = False
         open_years = still
 
     fits = {
@@ -447,38 +379,13 @@ def variance_draws(f: Fit, n_draws: int = V.N_DRAWS, seed: int = 20) -> DataFram
     """
     block = 500
     blocks = f.spark.range(0, math.ceil(n_draws / block) * len(f.editions), numPartitions=len(f.editions))
-    years = sorted(f.editions)
     parts = {
         y: (e.mode.t, np.linalg.cholesky(e.mode.covariance), len(e.system.grid.centre), e.system.n_regions)
         for y, e in f.editions.items()
     }
-    model_seed = sum(map(ord, f.kind))
-    pairs = [(i, j) for i in range(3) for j in range(i + 1, 3)]
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for unit in batch["id"]:
-                y, first = years[unit % len(years)], int(unit // len(years)) * block
-                t, root, m, regions = parts[y]
-                rng = np.random.default_rng([seed, model_seed, y, first])
-                size = min(block, n_draws - first)
-                z = t + rng.standard_normal((size, len(t))) @ root.T
-                chol = z[:, 1 + m + (1 if regions else 0) :]
-                low = np.zeros((size, 3, 3))
-                for k, (i, j) in enumerate([(i, j) for i in range(3) for j in range(i + 1)]):
-                    low[:, i, j] = np.exp(chol[:, k]) if i == j else chol[:, k]
-                omega = low @ low.transpose(0, 2, 1)
-                out = {"year": y, "draw": np.arange(first, first + size)}
-                out.update({d: omega[:, i, i] for i, d in enumerate(V.DOMAINS)})
-                out.update({f"cov_{V.DOMAINS[i]}_{V.DOMAINS[j]}": omega[:, i, j] for i, j in pairs})
-                out["school"] = np.exp(2 * z[:, 1])
-                out["region"] = np.exp(2 * z[:, 1 + m]) if regions else np.full(size, np.nan)
-                out["residual"] = np.exp(2 * z[:, 0])
-                yield pd.DataFrame(out)
-
-    names = [*V.DOMAINS, *[f"cov_{V.DOMAINS[i]}_{V.DOMAINS[j]}" for i, j in pairs], "school", "region", "residual"]
-    schema = "year int, draw long, " + ", ".join(f"`{n}` double" for n in names)
-    drawn = blocks.mapInPandas(draw, schema)
+    schema = "year int, draw long, " + ", ".join(f"`{n}` double" for n in COMPONENTS)
+    task = tasks.draw_components(parts, n_draws, block, [seed, sum(map(ord, f.kind))], V.DOMAINS)
+    drawn = blocks.mapInPandas(task, schema)
     return drawn.withColumn("region", C.clean("region")).withColumn("model", F.lit(f.kind))
 
 
@@ -487,9 +394,7 @@ def components(f: Fit) -> DataFrame:
     rows = []
     for y, e in f.editions.items():
         te, tv, tr, chol = e.parts
-        low = np.zeros((3, 3))
-        for value, (i, j) in zip(chol, [(i, j) for i in range(3) for j in range(i + 1)]):
-            low[i, j] = np.exp(value) if i == j else value
+        low = cholesky_factor(chol)
         omega = low @ low.T
         named = {f"strata_{d}": omega[i, i] for i, d in enumerate(V.DOMAINS)}
         named["school"] = np.exp(2 * tv[0])
@@ -514,30 +419,8 @@ def school_effects(f: Fit) -> DataFrame:
         solved[y] = theta, inverse, np.exp(2 * (te - tv)), np.exp(2 * te), e.scale
     shared = f.spark.sparkContext.broadcast(solved)  # model-sized
 
-    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for year, part in batch.groupby("year"):
-                if year not in shared.value:
-                    continue
-                theta, inverse, ratios, s2, scale = shared.value[year]
-                a, d, r = _dense(part, n_columns, slope, scale)
-                h, _ = _inverse(d, ratios)
-                m = len(a)
-                full = {(e, g): h[min(e, g), max(e, g)] for e in range(m) for g in range(m)}
-                left = [r[e] - a[e] @ theta for e in range(m)]
-                out = {"year": part["year"].to_numpy(), "global_school_id": part["global_school_id"].to_numpy()}
-                for k, name in enumerate(("effect", "slope")):
-                    if k >= m:
-                        out[f"{name}_mean"] = out[f"{name}_sd"] = np.full(len(part), np.nan)
-                        continue
-                    mean = sum(full[k, e] * left[e] for e in range(m))
-                    load = sum(full[k, e][:, None] * a[e] for e in range(m))
-                    spread = full[k, k] + np.einsum("si,si->s", load @ inverse, load)
-                    out[f"{name}_mean"], out[f"{name}_sd"] = mean, np.sqrt(s2 * spread)
-                yield pd.DataFrame(out)
-
     schema = "year int, global_school_id string, effect_mean double, effect_sd double, slope_mean double, slope_sd double"
-    effects = f.school_rows.mapInPandas(back, schema)
+    effects = f.school_rows.mapInPandas(tasks.solve_schools(shared, n_columns, slope), schema)
     return effects.withColumns({c: C.clean(c) for c in ("slope_mean", "slope_sd")})
 
 
