@@ -16,6 +16,7 @@ from estratia.operators import factors, joins, order, reshape
 from estratia.plans import composition, design, panel, reports, thresholds, variance
 from estratia.sources import editions as E
 from estratia.sources.workspace import read_stage, shared_folder, stage_path, write_stage
+from estratia.streaming.append import append_edition
 
 QUERIES: dict[str, Callable[[Study], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -168,10 +169,9 @@ def _(s: Study):
 )
 def _(s: Study):
     path = f"{shared_folder(s.spark)}/estratia/{s.spark.sparkContext.applicationId}/s10-{abs(hash(s.sf_dir))}"
-    write_stage(s.pooled.select("student_id", "global_school_id", "year"), path, ["year"])
-    # a new edition replaces its own partition and leaves the others
-    newest = s.pooled.filter("year = 2025").select("student_id", "global_school_id", "year")
-    write_stage(newest, path, ["year"], only_these_partitions=True)
+    write_stage(s.pooled, path, ["year"])
+    # an edition that comes again replaces its own partition and leaves the others
+    append_edition(s.pooled.filter("year = 2025"), path)
     return read_stage(s.spark, path).groupBy("year").agg(
         F.count(F.lit(1)).alias("n"), A.distinct_count("global_school_id").alias("n_schools")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estratia.operators.joins import collect_one
@@ -15,7 +15,7 @@ MAX_LEVELS = 10_000
 def level_codes(df: DataFrame, column: str, order: Sequence[Column], into: str) -> DataFrame:
     """Table of a category's used levels over all editions with codes 1..n in the given order.
 
-    The numbering runs in one task over the distinct levels, whose number is checked to be small.
+    The distinct levels are numbered on the driver, their number being checked to be small.
     """
     levels = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
         *[F.first(c).alias(f"_o{i}") for i, c in enumerate(order)]
@@ -23,9 +23,9 @@ def level_codes(df: DataFrame, column: str, order: Sequence[Column], into: str)
     rows = levels.head(MAX_LEVELS + 1)
     if len(rows) > MAX_LEVELS:
         raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
-    local = df.sparkSession.createDataFrame(rows, levels.schema)
-    keys = [F.col(f"_o{i}") for i in range(len(order))]
-    return local.select(column, F.row_number().over(Window.orderBy(*keys)).alias(into))
+    ranked = sorted(rows, key=lambda r: tuple(r)[1:])
+    coded = [(r[0], i + 1) for i, r in enumerate(ranked)]
+    return df.sparkSession.createDataFrame(coded, f"`{column}` string, `{into}` int")
 
 
 def score_scale(df: DataFrame, column: str) -> tuple[float, float]:

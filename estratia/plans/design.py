@@ -130,23 +130,27 @@ def cells(rows: DataFrame, keys: Sequence[str] = CELL_KEYS) -> DataFrame:
     )
 
 
-def normal_equations(cell_rows: DataFrame, active: Column) -> DataFrame:
-    """Weighted cross-products of the active columns, upper triangle, as (year, i, j, value).
+def normal_system(cell_rows: DataFrame, active: Column) -> DataFrame:
+    """Weighted sums of the active columns as (year, i, j, value).
 
-    Cells are summed over schools first; each then unfolds into the pairs of its few active columns.
+    The upper triangle of the cross-products, and with NULL as ``j`` the response sums. Cells are
+    summed over schools first; each then unfolds into the pairs of its few active columns.
     """
-    design = cell_rows.groupBy("year", active.alias("_a")).agg(F.sum("w").alias("_w"))
+    design = cell_rows.groupBy("year", active.alias("_a")).agg(F.sum("w").alias("_w"), F.sum("wy").alias("_wy"))
     pairs = (
-        design.select("year", "_w", "_a", F.explode("_a").alias("i"))
-        .select("year", "_w", "i", F.explode("_a").alias("j"))
-        .filter(F.col("i") <= F.col("j"))
+        design.select("year", "_w", "_wy", "_a", F.explode("_a").alias("i"))
+        .select("year", "_w", "_wy", "i", F.explode(F.array_append("_a", None)).alias("j"))
+        .filter(F.col("j").isNull() | (F.col("i") <= F.col("j")))
     )
-    return pairs.groupBy("year", "i", "j").agg(F.sum("_w").alias("value"))
+    value = F.when(F.col("j").isNull(), F.col("_wy")).otherwise(F.col("_w"))
+    return pairs.groupBy("year", "i", "j").agg(F.sum(value).alias("value"))
+
+
+def normal_equations(cell_rows: DataFrame, active: Column) -> DataFrame:
+    """Weighted cross-products of the active columns, upper triangle."""
+    return normal_system(cell_rows, active).filter(F.col("j").isNotNull())
 
 
 def right_hand_side(cell_rows: DataFrame, active: Column) -> DataFrame:
-    """Weighted response sums of the active columns, as (year, i, value)."""
-    design = cell_rows.groupBy("year", active.alias("_a")).agg(F.sum("wy").alias("_wy"))
-    return design.select("year", "_wy", F.explode("_a").alias("i")).groupBy("year", "i").agg(
-        F.sum("_wy").alias("value")
-    )
+    """Weighted response sums of the active columns."""
+    return normal_system(cell_rows, active).filter(F.col("j").isNull()).drop("j")

@@ -33,7 +33,7 @@ from estratia.sources.workspace import materialise
 
 MAX_COLUMNS = 2_000
 MAX_PASSES = 6
-SCHOOLS_PER_TASK = 20_000
+SCHOOLS_PER_TASK = 5_000
 PARTIALS_PER_SUM = 64
 Z95 = 1.959963984540054
 
@@ -178,12 +178,14 @@ def _set_table(system: System, grid: Grid, table: np.ndarray, n_columns: int, ke
     system.set_table(grid, np.ascontiguousarray(table[:, chosen]), rhs, rest[:, 0], rest[:, 1])
 
 
-def _dense_gram(triples: pd.DataFrame, rhs: pd.DataFrame, n_columns: int, scale: float):
+def _dense_system(sums: pd.DataFrame, n_columns: int, scale: float):
+    """Cross-products and response sums of one edition as arrays."""
+    pairs, single = sums[sums["j"].notna()], sums[sums["j"].isna()]
+    i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy().astype(int)
     gram = np.zeros((n_columns, n_columns))
-    gram[triples["i"], triples["j"]] = triples["value"]
-    gram[triples["j"], triples["i"]] = triples["value"]
+    gram[i, j] = gram[j, i] = pairs["value"]
     right = np.zeros(n_columns)
-    right[rhs["i"]] = rhs["value"]
+    right[single["i"]] = single["value"]
     return gram * scale, right * scale
 
 
@@ -242,8 +244,7 @@ def fit(
     )
     coded = coded.withColumn("_active", active)
     # model-sized results: at most n_columns squared numbers per edition
-    triples = design.normal_equations(coded, F.col("_active")).toPandas()
-    right = design.right_hand_side(coded, F.col("_active")).toPandas()
+    sums = design.normal_system(coded, F.col("_active")).toPandas()
     totals = cell_rows.groupBy("year").agg(*[F.sum(c).alias(c) for c in ("n", "w", "wyy")]).toPandas().set_index("year")
     schools = materialise(school_rows(coded, F.col("_active"), slope))
     n_schools = {r["year"]: r["n"] for r in schools.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -257,7 +258,7 @@ def fit(
     for y in years:
         n, w = float(totals.loc[y, "n"]), float(totals.loc[y, "w"])
         factor = n / w if weights == "normalised" else 1.0
-        gram, rhs = _dense_gram(triples[triples["year"] == y], right[right["year"] == y], n_columns, factor)
+        gram, rhs = _dense_system(sums[sums["year"] == y], n_columns, factor)
         used = np.diag(gram) > 0
         for i, name in enumerate(names):
             owner = _term_owner(name)

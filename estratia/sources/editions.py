@@ -195,4 +195,8 @@ def union_editions(frames: Sequence[DataFrame], schema: T.StructType | None = No
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame, allowMissingColumns=True)
-    return result if schema is None else result.select(*schema.fieldNames())
+    if schema is None:
+        return result
+    return result.select(
+        *[F.col(f.name) if f.name in seen else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    )

@@ -1,6 +1,5 @@
-"""No streaming operators.
+"""Adding an edition to the pool.
 
-Survey editions arrive years apart and are read whole, so a new edition is a batch append:
-rerun the preparation flow for the new edition, then rebuild the pooled quantities (strata
-codes and the global score scale), which belong to the pool and not to one edition.
+There are no streaming operators: editions arrive years apart and are read whole, so a new one is
+a batch append of its own partition.
 """
