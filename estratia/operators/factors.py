@@ -47,11 +47,12 @@ def eligibility_report(
 ) -> DataFrame:
     """Per edition: rows before and after the eligibility filter and distinct levels among the kept.
 
-    Distinct levels come from ``collect_set`` over short category columns, not from an expansion
-    of the rows per column; use it for columns with few levels.
+    Rows are counted by level combination first, in one hash aggregate; the distinct levels are
+    then taken from these counts. Meant for columns with few levels.
     """
     ok = F.coalesce(eligible(needed, weight), F.lit(False))
-    sets = [F.size(F.collect_set(F.when(ok, F.col(c)))).alias(name) for name, c in counted.items()]
-    return df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n_before"), F.count_if(ok).alias("n_after"), *sets
-    )
+    columns = list(dict.fromkeys(counted.values()))
+    combos = df.groupBy(by, ok.alias("_ok"), *columns).agg(F.count(F.lit(1)).alias("_n"))
+    sets = [F.size(F.collect_set(F.when(F.col("_ok"), F.col(c)))).alias(name) for name, c in counted.items()]
+    kept = F.coalesce(F.sum(F.when(F.col("_ok"), F.col("_n"))), F.lit(0))
+    return combos.groupBy(by).agg(F.sum("_n").alias("n_before"), kept.alias("n_after"), *sets)

@@ -15,11 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estratia.operators.joins import checked_broadcast
+from estratia.operators.joins import checked_broadcast, join_unique
 from estratia.sources.workspace import materialise
 
-GROUPS_ON_DRIVER = 5_000
-
 
 def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
     """Rows with the number of their range partition, and rows before each partition per group."""
@@ -79,11 +77,11 @@ def ntile(
     Only (group, value, tiebreak) are shuffled to find the k-1 bounds of each group. The rows
     themselves stay where they are and are compared with their group's bounds.
     """
-    bounds = checked_broadcast(band_bounds(df, by, value, tiebreak, len(labels)), GROUPS_ON_DRIVER)
+    bounds = materialise(band_bounds(df, by, value, tiebreak, len(labels)))
     here = F.struct(F.col(value).alias("value"), F.col(tiebreak).alias("tiebreak"))
     passed = F.size(F.filter(F.col("_bounds"), lambda b: b < here))
     band = F.element_at(F.array(*[F.lit(x) for x in labels]), passed + 1)
-    banded = df.join(bounds, list(by), "left").withColumn(into, F.when(F.col(value).isNotNull(), band))
+    banded = join_unique(df, bounds, by).withColumn(into, F.when(F.col(value).isNotNull(), band))
     return banded.drop("_bounds")
 
 
