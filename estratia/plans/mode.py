@@ -229,10 +229,11 @@ def find_mode(s: System, t0: np.ndarray, tolerance: float = 1e-5, limit: int = 2
             step = -h @ g
         step *= min(1.0, 2.0 / np.max(np.abs(step)))
         scale, accepted = 1.0, False
+        noise = 1e-11 * abs(point.value)  # rounding of the objective
         for _ in range(30):
             try:
                 trial, gt = at(z + scale * step)
-                if np.isfinite(trial.value) and trial.value <= point.value + 1e-4 * scale * (g @ step):
+                if np.isfinite(trial.value) and trial.value <= point.value + 1e-4 * scale * (g @ step) + noise:
                     accepted = True
                     break
             except np.linalg.LinAlgError:
@@ -247,6 +248,8 @@ def find_mode(s: System, t0: np.ndarray, tolerance: float = 1e-5, limit: int = 2
             rho, eye = 1 / (dz @ dg), np.eye(len(z))
             left = eye - rho * np.outer(dz, dg)
             h = left @ h @ left.T + rho * np.outer(dz, dz)
+        if np.max(np.abs(np.tanh(z[1 : 1 + m]))) > 0.97:
+            break  # the mode lies outside: tabulate around here and go on
         # change expected from a full step, in units of the log posterior, and size of the step
         if g @ h @ g < tolerance**2 and np.max(np.abs(h @ g)) < tolerance:
             done = True

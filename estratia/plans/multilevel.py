@@ -32,7 +32,7 @@ from estratia.plans.variance import COMPONENTS
 from estratia.sources.workspace import materialise
 
 MAX_COLUMNS = 2_000
-MAX_PASSES = 6
+MAX_PASSES = 8
 SCHOOLS_PER_TASK = 5_000
 PARTIALS_PER_SUM = 64
 Z95 = 1.959963984540054
@@ -278,12 +278,14 @@ def fit(
         prepared[y] = system, kept, factor, (w / n if weights == "precision" else 1.0)
 
     t = {y: start(p[3], m, p[0].n_regions) for y, p in prepared.items()}
-    half, order = {y: 4.0 for y in years}, 5 if slope else 10
+    # tabulated half-widths, from wide to narrow; a mode near an end is looked for again around it
+    widths, order = ((3.0, 1.2, 0.5), 5) if slope else ((4.0, 0.8), 10)
+    stage_of = dict.fromkeys(years, 0)
     modes: dict[int, Mode] = {}
     passes = dict.fromkeys(years, 0)
     open_years = list(years)
     while open_years:
-        grids = {y: Grid(2 * (t[y][0] - t[y][1 : 1 + m]), half[y], order) for y in open_years}
+        grids = {y: Grid(2 * (t[y][0] - t[y][1 : 1 + m]), widths[stage_of[y]], order) for y in open_years}
         nodes = {y: grid.nodes for y, grid in grids.items()}
         table = _tabulate(schools, n_tasks, n_columns, slope, nodes, {y: prepared[y][2] for y in open_years})
         still = []
@@ -291,7 +293,7 @@ def fit(
             system, kept = prepared[y][:2]
             _set_table(system, grids[y], table[y], n_columns, kept)
             passes[y] += 1
-            narrow = half[y] <= 1.0
+            narrow = stage_of[y] == len(widths) - 1
             modes[y] = find_mode(system, t[y], *((1e-5,) if narrow else (1e-2,)), curvature=narrow)
             t[y] = modes[y].t
             inside = modes[y].edge < 0.8
@@ -299,7 +301,7 @@ def fit(
                 continue
             if passes[y] < MAX_PASSES:
                 still.append(y)
-                half[y] = (0.5 if slope else 0.8) if inside else half[y]
+                stage_of[y] += int(inside and not narrow)
             else:
                 modes[y] = find_mode(system, t[y])
                 modes[y].converged = False
