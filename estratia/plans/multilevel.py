@@ -5,8 +5,8 @@
 Rows are collapsed to design cells, cells to cross-products of the few hundred terms, strata and
 regions, and to one sparse row per school. Schools, the only level whose number grows with the
 data, are never columns of a system: their effects are absorbed, one partition at a time, for a
-handful of variance ratios per pass. Two or three passes over the school rows make a fit, whatever
-their number, and all editions are fitted from the same passes.
+handful of variance ratios per pass. Two passes over the school rows make a fit (four with a slope),
+whatever their number, and all editions are fitted from the same passes.
 """
 
 from __future__ import annotations
