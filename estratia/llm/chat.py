@@ -27,8 +27,6 @@ from estratia.llm.common import cut, whole
 # The marks of the template and the control strings that texts must not hold.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>")
-#: Bound on the rounds: a path of more replies than 2^MAX_ROUNDS cannot be told from a cycle.
-MAX_ROUNDS = 40
 
 
 def escape(text: Column) -> Column:
@@ -62,8 +60,10 @@ def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     rows = rows.join(parents, ["conv_id", "parent"], "left")
     up = F.when(F.col("known"), F.col("parent"))
     now = cut(rows.select("conv_id", "node", up.alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
+    # A path is no longer than its conversation, so pointers still open after that many rounds lie on cycles
+    largest = rows.groupBy("conv_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
     steps, left = [], 1
-    while left and len(steps) < MAX_ROUNDS:
+    while left and 2 ** len(steps) <= 2 * largest:
         steps.append(now.where("up is not null").select("conv_id", "node", "up"))
         if len(steps) == 1 and not steps[0].limit(1).count():
             break
@@ -82,8 +82,9 @@ def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
         leaves = leaves.where(F.col("branch_rank") <= best)
     found = leaves.select("conv_id", F.col("node").alias("leaf"), "branch_rank", "branch_score", "node")
     for step in reversed(steps):
-        further = found.join(step, ["conv_id", "node"]).drop("node").withColumnRenamed("up", "node")
-        found = found.union(further.select(*found.columns))
+        near = found.join(step, ["conv_id", "node"], "left")
+        both = F.explode(F.array_compact(F.array("node", "up"))).alias("node")
+        found = near.select("conv_id", "leaf", "branch_rank", "branch_score", both)
     return found.join(now.select("conv_id", "node", "depth"), ["conv_id", "node"])
 
 

@@ -9,13 +9,11 @@ Labelled k-mers are unique in a text, so the alignment is the longest chain of c
 rises in both texts. Its similarity is chain / (n + m - chain), at least ``SIMILARITY``. Such a pair
 leaves at most (n + m) / 9 k-mers unmatched, so the band of that width about the diagonal loses nothing.
 
-Equal texts meet first and go on as one. In a bucket of up to ``ALL_PAIRS`` texts each meets each;
-in a larger one all meet one leader, then, as long as the bucket's texts are not all of one class,
-further leaders drawn by digest, sixteen times as many each round, until every text of the bucket has
-met every text of another class there.
-In larger buckets the k-mers that only one of their texts has are counted first: a pair whose other
-k-mers cannot make up the similarity is not compared. Texts of one class need not meet again: no link between
-classes is lost, and pairs inside a class are not listed.
+Equal texts meet first and go on as one. In a bucket of up to ``ALL_PAIRS`` texts each meets each. In
+a larger one all meet one leader, and the rest is exact by another index: the k-mers of the texts in
+large buckets are ordered by how many of these texts have them, and a similar pair must share one of
+the rarest ninth of the shorter text's k-mers. Texts that share such a k-mer and are not of one class
+yet are compared. No link between classes is lost, and pairs inside a class are not listed.
 
 Defined results: words are runs of letters and digits in lower case. A text of one to four words has
 one k-mer, all its words. A text without words (empty, blank) only matches an equal text. A null text
@@ -30,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from estratia.llm.common import cut, ship
@@ -99,8 +97,7 @@ def chain(a: np.ndarray, b: np.ndarray) -> int:
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     order = np.argsort(i)
     i, j = i[order], j[order]
-    width = (len(a) + len(b)) * (1 - SIMILARITY) / (1 + SIMILARITY)
-    j = j[np.abs(i - j) <= width]
+    j = j[np.abs(i - j) * 9 <= len(a) + len(b)]
     if len(j) < 2 or (np.diff(j) > 0).all():
         return len(j)
     ends = np.empty(len(j), j.dtype)
@@ -154,17 +151,22 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, words in zip(batch["id"].to_pylist(), batch["words"]):
             grams = kmers(words.values.to_numpy().view(np.uint32)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), doc)), pa.array(grams)], names=["id", "gram"])
+            same = np.full(len(grams), doc), np.full(len(grams), len(grams))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(grams)], names=["id", "n", "gram"])
 
 
-def shared_counts(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, shared: how many k-mers of each member some other member has too."""
-    grams = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "words")
-    grams = grams.mapInArrow(_spread, "id long, gram long")
-    own = grams.groupBy("gram").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    own = own.groupBy("id").agg(F.count("*").alias("own"))
-    joined = members.select("id", "n").distinct().join(own, "id", "left")
-    return joined.select("id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+def rarest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, n, shared, gram, rank: each member's k-mers from the least to the most frequent among the members.
+
+    shared is how many of the member's k-mers some other member has too.
+    """
+    grams = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "words")
+    grams = cut(grams.mapInArrow(_spread, "id long, n long, gram long"))
+    counted = grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    whole = Window.partitionBy("id")
+    counted = counted.withColumn("shared", F.sum(F.when(F.col("df") > 1, 1).otherwise(0)).over(whole))
+    ranked = counted.withColumn("rank", F.row_number().over(whole.orderBy("df", "gram")))
+    return ranked.where("df > 1").select("id", "n", "shared", "gram", "rank")
 
 
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -220,33 +222,32 @@ def near_links(texts: DataFrame) -> DataFrame:
 
     few = rows.where(F.col("s") <= ALL_PAIRS)
     pairs = few.join(other(few), "bucket").where(fits & (F.col("id") < F.col("o"))).select(*pair)
-    # The member of the most and largest buckets leads: of copies of one text that is near the original
-    fame = rows.groupBy("id").agg(F.sum("s").alias("fame"))
     many = rows.where(F.col("s") > ALL_PAIRS)
     # A chain holds shared k-mers only: texts with too many of their own are near to none
-    many = many.join(shared_counts(many, texts), "id").where(F.col("shared") * 5 >= F.col("n") * 4)
-    many = cut(many.join(fame, "id"))
+    ranks = cut(rarest(many, texts).where(F.col("shared") * 5 >= F.col("n") * 4))
+    # The member of the most and largest buckets leads: of copies of one text that is near the original
+    fame = rows.groupBy("id").agg(F.sum("s").alias("fame"))
+    many = many.join(ranks.select("id", "shared").distinct(), "id").join(fame, "id")
     head = F.struct("id", "n", "shared")
     lead = many.groupBy("bucket").agg(F.max_by(head, F.struct("fame", -F.col("id"))).alias("l"))
     lead = lead.select("bucket", F.col("l.id").alias("o"), F.col("l.n").alias("on"), F.col("l.shared").alias("os"))
     reach = F.least("shared", "os") * 9 >= (F.col("n") + F.col("on")) * 4
-    star = many.join(lead, "bucket").where(reach)
-    found = cut(links(pairs.union(star.where(fits).select(*pair)).distinct(), texts))
-
-    low, high = 0.0, 8.0
-    while True:
-        now = _with_classes(many, found)
-        now = now.withColumn("c", (F.xxhash64("bucket", "id") / float(2**64) + 0.5) * F.col("s"))
-        now = cut(now)
-        mixed = now.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-        open_ = now.join(mixed.select("bucket"), "bucket", "left_semi").where(F.col("c") >= low)
-        if open_.where(F.col("s") >= low).limit(1).count() == 0:
-            return found
-        heads = open_.where(F.col("c") < high)
-        heads = heads.select("bucket", F.col("id").alias("o"), F.col("n").alias("on"), F.col("shared").alias("os"), F.col("cls").alias("oc"))
-        met = open_.join(heads, "bucket").where(fits & reach & (F.col("cls") != F.col("oc")))
-        found = found.union(cut(links(met.select(*pair).distinct(), texts)))
-        low, high = high, high * 16
+    star = many.join(lead, "bucket").where(fits & reach).select(*pair)
+    found = cut(links(pairs.union(star).distinct(), texts))
+
+    # Of a similar pair, the rarest common k-mer is among the rarest ninth of the shorter text's
+    # and the rarest fifth of the longer's; only texts not yet of one class meet by it
+    keys = ranks.where(F.col("rank") <= F.floor(F.col("n") / 5) + 1)
+    keys = cut(_with_classes(keys, found))
+    share = keys.groupBy("gram", "cls").agg(F.count("*").alias("c"))
+    main = share.groupBy("gram").agg(F.max_by("cls", F.struct("c", "cls")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    keys = keys.join(main.drop("k"), "gram")
+    rest = keys.where("cls <> main")
+    rest = rest.select("gram", F.col("id").alias("o"), F.col("n").alias("on"), F.col("shared").alias("os"), F.col("rank").alias("or"), F.col("cls").alias("oc"))
+    short = lambda rank, n: F.col(rank) <= F.floor(F.col(n) / 9) + 1
+    ordered = (short("rank", "n") & (F.col("n") <= F.col("on"))) | (short("or", "on") & (F.col("on") <= F.col("n")))
+    met = keys.join(rest, "gram").where(fits & reach & ordered & (F.col("cls") != F.col("oc")))
+    return found.union(cut(links(met.select(*pair).distinct(), texts)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
