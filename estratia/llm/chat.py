@@ -54,8 +54,9 @@ def linear(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 
 def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """conv_id, leaf, branch_rank, branch_score, node, depth: the nodes of the ``best`` branches of each conversation."""
-    rows = nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    rows = rows.where("conv_id is not null and node is not null")
+    row = F.struct(whole("role").alias("role"), whole("text").alias("text"), "parent", "score")
+    rows = nodes.where("conv_id is not null and node is not null").groupBy("conv_id", "node").agg(F.min(row).alias("x"))
+    rows = rows.select("conv_id", "node", "x.parent", F.coalesce("x.score", F.lit(0.0)).alias("score"))
     parents = rows.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
     rows = rows.join(parents, ["conv_id", "parent"], "left")
     up = F.when(F.col("known"), F.col("parent"))

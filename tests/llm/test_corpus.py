@@ -255,7 +255,7 @@ def test_repeats_keep_the_first_and_offsets(odd, empty, spark):
             at = s["end"]
         assert r["cleaned"] == (None if text is None else "".join(kept) + text[at:])
     by = {r["doc_id"]: r for r in out}
-    assert by[0]["removed"] == [] and by[1]["cleaned"] == "" and by[11]["cleaned"] == PROSE + "\n" and by[12]["cleaned"] == "É\n" * 3
+    assert by[0]["cleaned"] == by[1]["cleaned"] == "" and by[11]["cleaned"] == PROSE + "\n" and by[12]["cleaned"] == "É\n" * 3
     assert repeats.clean(odd).count() == odd.count() and repeats.clean(empty).count() == 0
     paragraphs = spark.createDataFrame([(1, f"{PROSE}\n{PROSE} x\n\n{PROSE}\nother"), (2, f"new\n\n{PROSE}\n{PROSE} x\n\nend")], "doc_id long, text string")
     got = {r["doc_id"]: r["cleaned"] for r in repeats.clean(paragraphs, "paragraph").collect()}
