@@ -148,7 +148,8 @@ def test_latent_search_has_the_recall(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     hits = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, bench).collect()}
     texts = {r["doc_id"]: " ".join(leaks.tokens(r["text"])) for r in docs.collect()}
-    want = {(d, r["item_id"]) for r in bench.collect() for d, t in texts.items() if f" {' '.join(leaks.tokens(r['text']))} " in f" {t} "}
+    items = {r["item_id"]: " ".join(leaks.tokens(r["text"])) for r in bench.collect()}
+    want = {(d, i) for i, item in items.items() for d, t in texts.items() if f" {item} " in f" {t} "}
     assert len(want & hits) >= 0.9 * len(want) and len(want) > 10
 
 

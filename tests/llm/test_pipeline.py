@@ -24,7 +24,8 @@ def test_stages_against_their_operators(spark):
     assert all(any(near.similarity(g, k) >= 0.8 for k in [*kept.values(), *(x for y, x in gone.items() if y != d)]) for d, g in gone.items())
     clean = corpus_pipeline.without_benchmark(spark, one, SF)
     items = [" ".join(leaks.tokens(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    held = [d["doc_id"] for d in one.collect() if any(f" {i} " in f" {' '.join(leaks.tokens(d['text']))} " for i in items)]
+    texts = {d["doc_id"]: " ".join(leaks.tokens(d["text"])) for d in one.collect()}
+    held = [d for d, t in texts.items() if any(f" {i} " in f" {t} " for i in items)]
     assert held and sorted(held) == sorted({r[0] for r in one.select("doc_id").collect()} - {r[0] for r in clean.select("doc_id").collect()})
 
 
