@@ -47,11 +47,10 @@ RAW = f"""
 regs(g, rname, rlang, c22, c25, s18) AS (SELECT * FROM {_REGIONS} t),
 langs(code, lname, iso) AS (SELECT * FROM {_LANGS} t),
 base AS (
-  SELECT CASE year(o_orderdate) WHEN 1996 THEN 2018 WHEN 1998 THEN 2022 ELSE 2025 END AS ed,
+  SELECT CASE WHEN year(o_orderdate) <= 1996 THEN 2018 WHEN year(o_orderdate) <= 1998 THEN 2022 ELSE 2025 END AS ed,
          o_orderkey AS k, c_nationkey * 4 + o_custkey % 4 AS sch, c_nationkey % 8 AS g,
          o_orderstatus, o_totalprice, c_acctbal
-  FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE year(o_orderdate) IN (1996, 1998, 2000)),
+  FROM orders JOIN customer ON o_custkey = c_custkey),
 worded AS (
   SELECT b.*, rlang, c22, c25, s18,
          CASE WHEN a.lang = 'en' THEN 'Spanish' ELSE rlang END AS own,

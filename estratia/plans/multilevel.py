@@ -248,6 +248,8 @@ def fit(
     totals = cell_rows.groupBy("year").agg(*[F.sum(c).alias(c) for c in ("n", "w", "wyy")]).toPandas().set_index("year")
     schools = materialise(school_rows(coded, F.col("_active"), slope))
     n_schools = {r["year"]: r["n"] for r in schools.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Editions without any row left by the covariates or the slope are skipped ones too
+    skipped = sorted([*skipped, *(y for y in years if not n_schools.get(y))])
     years = [y for y in years if n_schools.get(y)]
     n_tasks = max(1, math.ceil(sum(n_schools.values()) / SCHOOLS_PER_TASK))
     schools = schools.coalesce(n_tasks) if n_tasks < 64 else schools

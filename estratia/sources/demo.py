@@ -1,7 +1,7 @@
 """Three edition files in the shapes of the real ones, derived from the order tables.
 
-Orders of 1996, 1998 and 2000 stand for the students of 2018, 2022 and 2025, customers' nations
-for schools and regions, documents' languages for test and home languages.
+Orders up to 1996, of 1997 and 1998, and from 1999 on stand for the students of 2018, 2022 and 2025, so
+every order is a student; customers' nations stand for schools and regions, documents' languages for test and home languages.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from estratia import fixed_values as V
 from estratia.sources.editions import EditionSource, read_edition
 from estratia.sources.workspace import stage_path
 
-EDITION_OF_YEAR = {1996: 2018, 1998: 2022, 2000: 2025}
+#: First and last order year of each edition; None is open.
+ORDER_YEARS = {2018: (None, 1996), 2022: (1997, 1998), 2025: (1999, None)}
 
 # region index 0..7: name, regional test language, code in 2022, code in 2025, first 2018 stratum
 REGIONS = (
@@ -61,10 +62,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, sf_dir: str, edition: int) -> DataFrame:
-    order_year = next(y for y, e in EDITION_OF_YEAR.items() if e == edition)
-    orders = _table(spark, sf_dir, "orders").filter(
-        f"o_orderdate >= timestamp'{order_year}-01-01' and o_orderdate < timestamp'{order_year + 1}-01-01'"
-    )
+    first, last = ORDER_YEARS[edition]
+    orders = _table(spark, sf_dir, "orders")
+    if first:
+        orders = orders.filter(f"o_orderdate >= timestamp'{first}-01-01'")
+    if last:
+        orders = orders.filter(f"o_orderdate < timestamp'{last + 1}-01-01'")
     customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "o_orderkey as k",
