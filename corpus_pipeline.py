@@ -3,13 +3,14 @@
 ``STAGES`` lists the stages; each reads what its predecessor kept. ``run`` applies them to the
 documents, with every stage's rows written to the shared folder and read again.
 
-Rows that repeat a doc_id are one document to the near-duplicate stage, which keeps the one whose
-text has the least SHA-256; all other stages treat rows by themselves. Columns beyond those of documents are passed on.
+Texts are told apart by their digests, not by doc_id alone: different texts under a null or repeated
+doc_id are documents of their own in every stage. The near-duplicate stage keeps one row of those equal in
+doc_id and text; all other stages treat rows by themselves. Columns beyond those of documents are passed on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estratia.llm import leaks, mixing, near, quality, shards
@@ -30,17 +31,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of the least id."""
-    first = near.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("first_"))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2("text", 256).asc_nulls_last()))
-    return kept.withColumn("nth_", nth).where("nth_ = 1").select(*docs.columns)
+    """One document of each class of near duplicates: that of the least id, then of the least digest of its text."""
+    classes = near.near_duplicates(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("digest").eqNullSafe(F.col("class_digest"))
+    first = classes.where(same).select(F.col("doc_id").alias("first_"), F.col("digest").alias("own_"))
+    rows = docs.withColumn("digest_", F.sha2("text", 256)).dropDuplicates(["doc_id", "digest_"])
+    on = rows["doc_id"].eqNullSafe(first["first_"]) & rows["digest_"].eqNullSafe(first["own_"])
+    return rows.join(first, on, "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = leaks.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit_")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_"]), "left_anti")
+    """Documents whose text holds no benchmark item."""
+    keyed = docs.withColumn("key_", F.xxhash64("text"))
+    hits = leaks.leaks(keyed, table(spark, sf_dir, "benchmark"), doc_id="key_").select(F.col("doc_id").alias("hit_")).distinct()
+    return keyed.join(hits, F.col("key_") == F.col("hit_"), "left_anti").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ yet are compared. No link between classes is lost, and pairs inside a class are
 
 Defined results: words are runs of letters and digits in lower case. A text of one to four words has
 one k-mer, all its words. A text without words (empty, blank) only matches an equal text. A null text
-matches nothing. Rows that repeat a doc_id are read as one document, by the text of least SHA-256.
+matches nothing. A document is a doc_id with a text: different texts under one doc_id, or under none,
+are documents of their own, told apart by the SHA-256 of the text; rows equal in both are one.
 """
 
 from __future__ import annotations
@@ -251,24 +252,33 @@ def near_links(texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, copy_id, class_id, n_links, n_class.
+    """doc_id, copy_id, class_id, n_links, n_class, digest, class_digest; one row for each doc_id and text.
 
-    copy_id is the least id of equal texts, class_id the least of the class, n_links the number of
-    verified links of the text that were listed, n_class the number of documents in the class.
+    copy_id is the least id of equal texts, class_id that of the class's first text (least id, null
+    last, then least digest), n_links the number of verified links of the text that were listed,
+    n_class the number of documents in the class. digest is the SHA-256 of the text, class_digest
+    that of the class's first text; where ids are null or repeat, class_id and class_digest together name the class.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ids = rows.groupBy("doc_id").agg(F.min(F.sha2("text", 256)).alias("digest"))
-    rows = rows.withColumn("digest", F.sha2("text", 256))
-    firsts = ids.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_id"))
-    ids = cut(ids.join(firsts, "digest", "left").select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), "digest"))
-    alone = ids.where("doc_id = copy_id and digest is not null").select("doc_id", F.col("digest").alias("own"))
-    one = rows.join(alone, "doc_id").where("digest = own").select("doc_id", "text").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.sha2("text", 256))
+    ids = cut(rows.select("doc_id", "digest").distinct())
+    copies = ids.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_id"))
+    # Numbers of the texts in this order, so that the least of a class is its first text
+    own = cut(copies.orderBy(F.col("copy_id").asc_nulls_last(), "digest").withColumn("id", F.monotonically_increasing_id()))
+    alone = own.select(F.col("copy_id").alias("c_"), F.col("digest").alias("own"), "id")
+    one = rows.join(alone, F.col("doc_id").eqNullSafe(F.col("c_")) & (F.col("digest") == F.col("own")))
+    one = one.select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
     texts = cut(one.mapInArrow(_sketch_batches, "id long, n long, sketch array<long>, words array<int>"))
     found = cut(near_links(texts).distinct())
     ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id")))
     degree = ends.groupBy("id").agg(F.count("*").alias("n_links"))
-    joined = _with_classes(ids.withColumn("id", F.col("copy_id")), found).join(degree, "id", "left")
-    joined = joined.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
-    sizes = joined.groupBy(F.col("cls").alias("class_id")).agg(F.count("*").alias("n_class"))
-    out = joined.withColumnRenamed("cls", "class_id").join(sizes, "class_id", "left")
-    return out.select("doc_id", "copy_id", "class_id", "n_links", "n_class")
+    each = _with_classes(own.withColumn("cls", F.col("id")), found).join(degree, "id", "left")
+    heads = own.select(F.col("id").alias("cls"), F.col("copy_id").alias("class_id"), F.col("digest").alias("class_digest"))
+    each = each.join(heads, "cls").select(F.col("digest").alias("own"), "copy_id", "cls", "class_id", "class_digest", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    joined = cut(ids.join(each, F.col("digest") == F.col("own"), "left"))
+    sizes = joined.where("cls is not null").groupBy("cls").agg(F.count("*").alias("n_class"))
+    out = joined.join(sizes, "cls", "left")
+    # A null text has no class but its own
+    lone = F.col("cls").isNull()
+    own_id = lambda c: F.when(lone, F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    zero, single = F.lit(0).cast("long"), F.lit(1).cast("long")
+    return out.select("doc_id", own_id("copy_id"), own_id("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_class", single).alias("n_class"), "digest", "class_digest")

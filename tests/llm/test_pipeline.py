@@ -41,3 +41,18 @@ def test_odd_rows_pass_every_stage(spark, odd, empty):  # noqa: F811
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
         assert set(odd.columns) - {"kept", "size"} <= set(stage(spark, odd, SF).columns) and stage(spark, odd, SF).count() <= 2 * 3 * odd.count()
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    """Different texts under one id, or none, are documents of their own; near copies among them still meet."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(80)) for k in range(6)]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3].replace("t3w5 ", "edit ")), (8, texts[4]), (None, texts[4] + " end"), (None, texts[5]), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = near.near_duplicates(docs).collect()
+    assert len(got) == 9 and len({(r["class_id"], r["class_digest"]) for r in got}) == 7
+    kept = corpus_pipeline.one_of_near(spark, docs, SF).collect()
+    assert len(kept) == 7 and {texts[0], texts[1], texts[2], texts[4], texts[5], None} <= {r["text"] for r in kept}
+    assert (8, texts[4]) in {tuple(r) for r in kept}
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    leak = spark.createDataFrame([(None, texts[0]), (None, item), (7, texts[2]), (7, item + " end")], "doc_id long, text string")
+    assert {r["text"] for r in corpus_pipeline.without_benchmark(spark, leak, SF).collect()} == {texts[0], texts[2]}
