@@ -292,3 +292,19 @@ def test_digest_of_base_spans(spark):
 
 def test_duckdb_is_at_hand():
     assert duckdb.__version__
+
+
+def test_quality_rejects_texts_without_common_words(spark):
+    """Junk of ordinary letters is told apart by its words alone, in every language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    langs = ["en", "de", "fr", "es"]
+    words = [f"{x}{chr(97 + i % 26)}{chr(97 + i // 26)}en" for i in range(50) for x in ("ve", "mir")]
+    line = " ".join(f"{w.title()}" if i % 9 == 0 else w + "." if i % 9 == 8 else w for i, w in enumerate(words))
+    junk = [(-1 - k, line, x) for k, x in enumerate(langs)]
+    got = {r["doc_id"]: r for r in quality.judge(docs.union(spark.createDataFrame(junk, docs.schema))).collect()}
+    for doc, _, _ in junk:
+        r = got[doc]
+        assert not r["base_failed"] and r["char_distance"] <= quality.MAX_CHAR_DISTANCE and not r["kept"]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    passed = {q: [r["kept"] for d, r in got.items() if labels.get(d) == q and not r["base_failed"]] for q in (0, 1)}
+    assert np.mean(passed[1]) > 0.95 and np.mean(passed[0]) < 0.05
