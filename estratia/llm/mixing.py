@@ -3,7 +3,9 @@
 Each source's documents stand in a seeded order and are cut into blocks of ``BLOCK`` words. The
 blocks of the mix are awarded one by one to the source of the highest quotient target / (2k + 1)
 (k: blocks it has; ties to the earlier source); the blocks of shard s are those awarded between
-s / n and (s + 1) / n of all, so every shard has whole quotas. A source of quota q and n blocks
+s / n and (s + 1) / n of all, so every shard has whole quotas. A source's takings are numbered in the
+seeded order of its blocks, every block once before any is taken again; those of shard s are the
+numbers between its sums of awarded blocks up to s - 1 and up to s. A source of quota q and n blocks
 gives every block floor(q / n) times and q mod n of them once more: those whose multiple of the
 quota, from a seeded start, wraps, which is an even spread over the seeded order.
 
@@ -112,12 +114,13 @@ def _start(rows: DataFrame, records: list[dict], seed: int, block: int) -> DataF
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, taken (words), pieces.
 
-    pieces (block, begin, n_words, times) are the document's words by block, and how often the mix takes them.
+    pieces (block, begin, n_words, times, shards) are the document's words by block, how often the mix
+    takes them, and the shard of each time.
     """
     rows = cut(sized(docs, doc_id, text, source))
     records = plan(rows, block, shards)
     if not records:
-        empty = "doc_id long, source string, tie string, size long, source_size long, target double, taken long, pieces array<struct<block:long,begin:long,n_words:long,times:long>>"
+        empty = "doc_id long, source string, tie string, size long, source_size long, target double, taken long, pieces array<struct<block:long,begin:long,n_words:long,times:long,shards:array<long>>>"
         return rows.sparkSession.createDataFrame([], empty)
     df = _start(rows, records, seed, block)
     df = df.withColumn("full", F.floor(F.col("quota") / F.col("blocks"))).withColumn("rest", F.col("quota") % F.col("blocks"))
@@ -125,11 +128,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     last = F.floor((F.col("before") + F.col("size") - 1) / block)
     spots = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("before") / block), last)).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("spots", spots)
+    # Takings of the last, partial pass before block b: multiples of the quota that wrapped before it
+    wrapped = "cast(floor(((b - 1) * rest + phase) / blocks) - floor((phase - rest) / blocks) as bigint)"
+    once = "pmod(b * rest + phase, blocks) < rest"
+    nth = f"concat(transform(if(full > 0, sequence(0L, full - 1), cast(array() as array<bigint>)), k -> k * blocks + b), if({once}, array(full * blocks + {wrapped}), cast(array() as array<bigint>)))"
     piece = """transform(spots, b -> struct(
         b as block,
         greatest(b * {n}, before) - before as begin,
         least((b + 1) * {n}, before + size) - greatest(b * {n}, before) as n_words,
-        full + if(pmod(b * rest + phase, blocks) < rest, 1L, 0L) as times))""".format(n=block)
+        full + if({once}, 1L, 0L) as times,
+        transform({nth}, t -> cast(size(filter(ends, e -> e <= t)) as bigint)) as shards))""".format(n=block, once=once, nth=nth)
     df = df.withColumn("pieces", F.expr(piece))
     taken = F.expr("aggregate(pieces, 0L, (a, p) -> a + p.n_words * p.times)")
     return df.withColumn("taken", taken).select("doc_id", "source", "tie", "size", "source_size", "target", "taken", "pieces")

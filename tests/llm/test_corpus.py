@@ -308,3 +308,15 @@ def test_quality_rejects_texts_without_common_words(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     passed = {q: [r["kept"] for d, r in got.items() if labels.get(d) == q and not r["base_failed"]] for q in (0, 1)}
     assert np.mean(passed[1]) > 0.95 and np.mean(passed[0]) < 0.05
+
+
+def test_shards_of_the_mix_have_their_quotas(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    records = {r["source"]: r for r in mixing.plan(mixing.sized(docs))}
+    held = defaultdict(dict)
+    for r in mixing.mix(docs).select("source", "pieces").collect():
+        for p in r["pieces"]:
+            assert len(p["shards"]) == p["times"] and held[r["source"]].setdefault(p["block"], p["shards"]) == p["shards"]
+    for source, record in records.items():
+        each = Counter(s for shards_ in held[source].values() for s in shards_)
+        assert [each[s] for s in range(mixing.SHARDS)] == np.diff([0, *record["ends"]]).tolist()
