@@ -320,3 +320,15 @@ def test_shards_of_the_mix_have_their_quotas(spark):
     for source, record in records.items():
         each = Counter(s for shards_ in held[source].values() for s in shards_)
         assert [each[s] for s in range(mixing.SHARDS)] == np.diff([0, *record["ends"]]).tolist()
+
+
+def test_distrust_settles_on_a_long_chain(spark):
+    """At its defaults the query settles: hosts 20 edges from the only blocked page get their share of distrust."""
+    chain = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(20)]
+    chain[-1] = (19, "http://h19.net/", '<a href="http://q.com/de/">')
+    pages = spark.createDataFrame([*chain, (20, "http://q.com/de/", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in hosts.judge(pages).collect()}
+    for i in range(20):
+        want = 0.15 * 0.85 ** (20 - i)
+        assert got[i]["verdict"] == "block" and abs(got[i]["distrust"] / hosts.MASS - want) < hosts.TOLERANCE
+    assert 0.85**hosts.ROUNDS <= hosts.TOLERANCE
