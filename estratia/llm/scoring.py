@@ -1,14 +1,17 @@
 """LM scoring by masked pseudo-likelihood.
 
 Every token of a text is predicted from the two before and the two after it. A network with one
-hidden layer (a learned vector for each context place and word, summed, rectified) gives the
-probability of the token's class: each of the most frequent words is a class, all others are one. A
-word of that class has its share of the counts of the whole corpus (by hashed bucket). The sum of
-the log-probabilities scores the document.
-
-Counts are taken over all documents. Training reads every ``STRIDE``-th position of every document,
-so it grows with the corpus. Each task trains its rows from the common weights in numpy; the weights
-are averaged by rows, in blocks that meet by key, for ``ROUNDS`` rounds.
+hidden layer (a learned vector for each context place and word, summed, rectified) gives three
+probabilities: of the token's class, where each of the most frequent words is a class and all others
+are one; in that class, of its group of words; in the group, of the word. All three depend on the
+context. The ``KNOWN`` most frequent words are words to the network, the rest fall in ``RARE`` hashed
+buckets; inside its bucket a rare word has its share of the bucket's counts in the whole corpus,
+which does not depend on the context. The sum of the log-probabilities scores the document.
+
+Counts are taken over all documents, and training reads every position of every document, so it
+grows with the corpus. Each task trains its rows from the common weights in numpy, in a seeded order
+within chunks of ``GROUP`` tokens; the weights are averaged by rows, in blocks that meet by key, for
+``ROUNDS`` rounds. Outputs start from the counts of the words, so the network starts from unigrams.
 
 Defined results: tokens are runs of letters and digits in lower case and single other marks; a null
 or empty text has 0 tokens, sum 0 and no mean; places beyond the text have a word of their own;
@@ -38,13 +41,15 @@ RARE = 256
 PAD = KNOWN + RARE
 BUCKETS = 1 << 16
 HIDDEN = 32
+#: Words beyond the classes: groups of equal size, by frequency.
+GROUPS = 48
+MEMBERS = -(-(PAD - CLASSES + 1) // GROUPS)
 PLACES = (-2, -1, 1, 2)
-STRIDE = 16
 ROUNDS = 2
 RATE = 0.08
-BATCH = 256
+BATCH = 512
 BLOCK = 1 << 16
-GROUP = 20_000
+GROUP = 1 << 16
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -61,17 +66,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Words:
-    """Ids of words: the known by frequency, then hashed rare ones; and the log share of rare words' buckets."""
+    """Ids of words: the known by frequency, then buckets of rare ones; the count of each id; the log share of rare words in their bucket."""
 
-    def __init__(self, known: list[str], shares: np.ndarray):
+    def __init__(self, known: list[str], shares: np.ndarray, counts: np.ndarray):
         self.ids = {w: i for i, w in enumerate(known)}
         self.shares = shares
+        self.counts = counts
 
     def read(self, found: list[str], seen: dict[str, tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
         for word in set(found).difference(seen):
             code = zlib.crc32(word.encode())
             at = self.ids.get(word, KNOWN + code % RARE)
-            seen[word] = at, 0.0 if at < CLASSES - 1 else float(self.shares[code % BUCKETS])
+            seen[word] = at, 0.0 if at < KNOWN else float(self.shares[code % BUCKETS])
         both = [seen[w] for w in found]
         return np.array([b[0] for b in both], np.int64), np.array([b[1] for b in both])
 
@@ -79,12 +85,18 @@ class Words:
 def vocabulary(docs: DataFrame) -> Words:
     """Counts over all documents; at most KNOWN words and BUCKETS sums come back."""
     counts = cut(docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    known = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
-    rare = counts.where(~F.col("word").isin(known[: CLASSES - 1])) if known else counts
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    known = [r["word"] for r in top]
+    rare = counts.where(~F.col("word").isin(known)) if known else counts
     sums = np.full(BUCKETS, 0.5)
     for r in rare.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect():
         sums[r["b"]] += r["n"]
-    return Words(known, np.log(sums / sums.sum()))
+    # BUCKETS is a multiple of RARE, so each of the finer buckets lies in one of the coarser
+    of_rare = sums.reshape(-1, RARE).sum(axis=0)
+    each = np.full(PAD, 0.5)
+    each[: len(top)] += [r["n"] for r in top]
+    each[KNOWN:] = of_rare
+    return Words(known, np.log(sums / np.tile(of_rare, BUCKETS // RARE)), each)
 
 
 def contexts(ids: np.ndarray, spots: np.ndarray) -> np.ndarray:
@@ -93,74 +105,134 @@ def contexts(ids: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return np.stack([padded[spots + 2 + p] for p in PLACES], axis=1)
 
 
-def start_weights() -> np.ndarray:
+def start_weights(counts: np.ndarray | None = None) -> np.ndarray:
+    """Small random weights; biases of the outputs from the counts of the ids."""
     rng = np.random.default_rng(17)
+    counts = np.ones(PAD) if counts is None else counts
     table = rng.standard_normal((len(PLACES), PAD + 1, HIDDEN)) * 0.1
-    return np.concatenate([x.ravel() for x in (table, np.full(HIDDEN, 0.1), rng.standard_normal((HIDDEN, CLASSES)) * 0.1, np.zeros(CLASSES))]).astype(np.float32)
+    other = np.zeros(GROUPS * MEMBERS)
+    other[: PAD - CLASSES + 1] = counts[CLASSES - 1 :]
+    other = other.reshape(GROUPS, MEMBERS)
+    of_group = other.sum(axis=1)
+    # Places of the last group without a word have no probability
+    inside = np.where(other > 0, np.log(np.maximum(other, 1e-9) / of_group[:, None]), -1e4)
+    classes = np.append(counts[: CLASSES - 1], of_group.sum())
+    parts = [table, np.full(HIDDEN, 0.1), rng.standard_normal((HIDDEN, CLASSES)) * 0.1, np.log(classes / classes.sum())]
+    parts += [rng.standard_normal((HIDDEN, GROUPS)) * 0.1, np.log(of_group / of_group.sum()), rng.standard_normal((GROUPS, HIDDEN, MEMBERS)) * 0.1, inside]
+    return np.concatenate([x.ravel() for x in parts]).astype(np.float32)
 
 
-def unpacked(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Views: the context table, hidden bias, output matrix, output bias."""
-    n = len(PLACES) * (PAD + 1) * HIDDEN
-    m = n + HIDDEN
-    k = m + HIDDEN * CLASSES
-    return weights[:n].reshape(len(PLACES) * (PAD + 1), HIDDEN), weights[n:m], weights[m:k].reshape(HIDDEN, CLASSES), weights[k:]
+def unpacked(weights: np.ndarray) -> list[np.ndarray]:
+    """Views: the context table and hidden bias; matrix and bias of the classes, of the groups, of the words in each group."""
+    shapes = [(len(PLACES) * (PAD + 1), HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, MEMBERS), (GROUPS, MEMBERS)]
+    ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes)])
+    return [weights[a:b].reshape(x) for a, b, x in zip(ends, ends[1:], shapes)]
 
 
 _SHIFT = np.arange(len(PLACES)) * (PAD + 1)
 
 
-def log_probabilities(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
-    table, bias, out, base = unpacked(weights)
-    hidden = np.maximum(sum(table[context[:, p] + _SHIFT[p]] for p in range(len(PLACES))) + bias, 0)
-    logits = hidden @ out + base
-    logits -= logits.max(axis=1, keepdims=True)
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits = logits - logits.max(axis=1, keepdims=True)
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def _hidden(weights: list[np.ndarray], context: np.ndarray) -> np.ndarray:
+    table, bias = weights[:2]
+    return np.maximum(sum(table[context[:, p] + _SHIFT[p]] for p in range(len(PLACES))) + bias, 0)
+
+
+def log_probabilities(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the classes."""
+    parts = unpacked(weights)
+    return _log_softmax(_hidden(parts, context) @ parts[2] + parts[3])
+
+
+def _by_group(rest: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Group, places of its words in ``rest`` (ids beyond the classes, from 0)."""
+    order = np.argsort(rest, kind="stable")
+    edges = np.searchsorted(rest[order], np.arange(GROUPS + 1) * MEMBERS)
+    for g in np.flatnonzero(np.diff(edges)):
+        yield int(g), order[edges[g] : edges[g + 1]]
+
+
+def word_log_probabilities(weights: np.ndarray, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Log-probability of each id at its context: class, group in the class, word in the group."""
+    parts = unpacked(weights)
+    hidden = _hidden(parts, context)
+    n = np.arange(len(ids))
+    out = _log_softmax(hidden @ parts[2] + parts[3])[n, np.minimum(ids, CLASSES - 1)]
+    others = np.flatnonzero(ids >= CLASSES - 1)
+    rest, hidden = ids[others] - (CLASSES - 1), hidden[others]
+    more = _log_softmax(hidden @ parts[4] + parts[5])[np.arange(len(rest)), rest // MEMBERS]
+    for g, at in _by_group(rest):
+        more[at] += _log_softmax(hidden[at] @ parts[6][g] + parts[7][g])[np.arange(len(at)), rest[at] % MEMBERS]
+    out[others] += more
+    return out
+
+
+def _error(logits: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Gradient of the log loss by the logits."""
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(want)), want] -= 1
+    return p
+
+
 def train(weights: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """One pass of stochastic gradient descent over the rows."""
+    """One pass of stochastic gradient descent over the rows; ``target`` are ids."""
     weights = weights.copy()
-    table, bias, out, base = unpacked(weights)
+    table, bias, out, base, group_out, group_base, word_out, word_base = unpacked(weights)
+    # The step of one row; rarer outputs and context words, which few rows of a batch have, take larger ones
+    rate = RATE / 256
     for s in range(0, len(target), BATCH):
         at, want = context[s : s + BATCH] + _SHIFT, target[s : s + BATCH]
-        n = len(want)
         before = table[at].sum(axis=1) + bias
         hidden = np.maximum(before, 0)
-        logits = hidden @ out + base
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), want] -= 1
-        p /= n
-        back = (p @ out.T) * (before > 0)
-        out -= RATE * hidden.T @ p
-        base -= RATE * p.sum(axis=0)
-        bias -= RATE * back.sum(axis=0)
-        # A context word stands in few rows of a batch: its step is not divided by the batch
-        step = np.repeat(back * (-RATE * 8), len(PLACES), axis=0)
-        np.add.at(table, at.ravel(), step)
+        p = _error(hidden @ out + base, np.minimum(want, CLASSES - 1))
+        back = p @ out.T
+        others = np.flatnonzero(want >= CLASSES - 1)
+        rest, held = want[others] - (CLASSES - 1), hidden[others]
+        q = _error(held @ group_out + group_base, rest // MEMBERS)
+        more = q @ group_out.T
+        group_out -= rate * 2 * held.T @ q
+        group_base -= rate * 2 * q.sum(axis=0)
+        for g, k in _by_group(rest):
+            r = _error(held[k] @ word_out[g] + word_base[g], rest[k] % MEMBERS)
+            more[k] += r @ word_out[g].T
+            word_out[g] -= rate * 8 * held[k].T @ r
+            word_base[g] -= rate * 8 * r.sum(axis=0)
+        back[others] += more
+        back *= before > 0
+        out -= rate * hidden.T @ p
+        base -= rate * p.sum(axis=0)
+        bias -= rate * back.sum(axis=0)
+        flat = at.ravel()
+        order = np.argsort(flat)
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        table[flat[order[first]]] -= rate * 8 * np.add.reduceat(back[order // len(PLACES)], first, axis=0)
     return weights
 
 
 def _examples(words: Words):
+    """Chunks of ids with two PADs before and after each text; a text may go on in the next chunk."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[int, float]] = {}
+        pads = np.full(2, PAD, np.int16)
         for batch in batches:
-            parts = []
+            parts = [pads]
             for text in batch["text"]:
-                text = text.as_py()
-                ids, _ = words.read(tokens(text), seen)
-                spots = np.arange(zlib.crc32(text.encode()) % STRIDE if text else 0, len(ids), STRIDE)
-                if len(spots):
-                    target = np.minimum(ids[spots], CLASSES - 1)
-                    parts.append(np.column_stack([contexts(ids, spots), target]).astype(np.int16))
-            if len(seen) > 500_000:
-                seen.clear()
-            if parts:
-                rows = np.concatenate(parts)
-                chunks = [rows[i : i + GROUP] for i in range(0, len(rows), GROUP)]
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in chunks], pa.binary())], names=["rows"])
+                ids, _ = words.read(tokens(text.as_py()), seen)
+                if len(ids):
+                    parts += [ids.astype(np.int16), pads]
+                if len(seen) > 500_000:
+                    seen.clear()
+            ids = np.concatenate(parts)
+            # Chunks overlap by the two tokens that stand before and after their own
+            chunks = [ids[i : i + GROUP + 4].tobytes() for i in range(0, len(ids) - 4, GROUP)]
+            if chunks:
+                yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary())], names=["rows"])
 
     return each
 
@@ -170,9 +242,11 @@ def _trained(weights: np.ndarray):
         now, n = weights, 0
         for batch in batches:
             for rows in batch["rows"]:
-                rows = np.frombuffer(rows.as_py(), np.int16).reshape(-1, len(PLACES) + 1).astype(np.int64)
-                now = train(now, rows[:, :-1], rows[:, -1])
-                n += len(rows)
+                ids = np.frombuffer(rows.as_py(), np.int16).astype(np.int64)
+                spots = np.flatnonzero(ids[2:-2] != PAD) + 2
+                spots = np.random.default_rng(len(ids)).permutation(spots)
+                now = train(now, np.stack([ids[spots + p] for p in PLACES], axis=1), ids[spots])
+                n += len(spots)
         if n:
             for b in range(0, len(now), BLOCK):
                 part = now[b : b + BLOCK].astype(np.float64) * n
@@ -190,7 +264,7 @@ def fit(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> np.ndarray:
     """The averaged weights; blocks of fixed size come back each round."""
     schema = "block long, n long, part binary"
     rows = cut(docs.select("text").mapInArrow(_examples(words), "rows binary"))
-    weights = start_weights()
+    weights = start_weights(words.counts)
     for _ in range(rounds):
         parts = rows.mapInArrow(_trained(weights), schema)
         # Half sums first, so that no task adds up the parts of all others
@@ -204,12 +278,11 @@ def fit(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> np.ndarray:
 def _scored(words: Words, weights: np.ndarray):
     def scores(group: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
         context = np.concatenate([contexts(ids, np.arange(len(ids))) for ids, _ in group])
-        target = np.minimum(np.concatenate([ids for ids, _ in group]), CLASSES - 1)
+        target = np.concatenate([ids for ids, _ in group])
         own = np.concatenate([share for _, share in group])
         each = np.empty(len(target))
         for s in range(0, len(target), GROUP):
-            p = log_probabilities(weights, context[s : s + GROUP])
-            each[s : s + GROUP] = p[np.arange(len(p)), target[s : s + GROUP]]
+            each[s : s + GROUP] = word_log_probabilities(weights, context[s : s + GROUP], target[s : s + GROUP])
         ends = np.cumsum([0, *(len(ids) for ids, _ in group)])
         return [float((each[a:b] + own[a:b]).sum()) for a, b in zip(ends, ends[1:])]
 

@@ -332,3 +332,26 @@ def test_distrust_settles_on_a_long_chain(spark):
         want = 0.15 * 0.85 ** (20 - i)
         assert got[i]["verdict"] == "block" and abs(got[i]["distrust"] / hosts.MASS - want) < hosts.TOLERANCE
     assert 0.85**hosts.ROUNDS <= hosts.TOLERANCE
+
+
+def test_pseudo_likelihood_trains_every_position_and_predicts_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = scoring.vocabulary(docs)
+    chunks = [np.frombuffer(r["rows"], np.int16) for r in docs.select("text").mapInArrow(scoring._examples(words), "rows binary").collect()]
+    assert sum((c[2:-2] != scoring.PAD).sum() for c in chunks) == sum(len(scoring.tokens(r["text"])) for r in docs.collect())
+    weights = scoring.fit(docs, words)
+    ids = np.arange(scoring.PAD)
+    for around in ([5, 900, 31, 2200], [scoring.PAD] * 4):
+        assert abs(np.exp(scoring.word_log_probabilities(weights, np.tile(around, (len(ids), 1)), ids)).sum() - 1) < 1e-3
+    held = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id between 5000 and 5200").collect()
+    share = np.log(words.counts / words.counts.sum())
+    model = unigram = np.zeros(2)
+    for r in held:
+        x, _ = words.read(scoring.tokens(r["text"]), {})
+        p = scoring.word_log_probabilities(weights, scoring.contexts(x, np.arange(len(x))), x)
+        content = x >= scoring.CLASSES - 1
+        model = model + [p.sum(), p[content].sum()]
+        unigram = unigram + [share[x].sum(), share[x[content]].sum()]
+    n = sum(len(scoring.tokens(r["text"])) for r in held)
+    print("per token, all and content words:", model / n, unigram / n)
+    assert (model / n > unigram / n + 0.05).all()
