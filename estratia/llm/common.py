@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from estratia.operators.joins import checked_broadcast
 from estratia.sources.workspace import shared_folder
 
 #: Words are maximal runs of anything but these six characters.
@@ -73,6 +74,25 @@ def running(df: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[Co
     return joined.withColumn("before", before.cast("long")).drop("slice_", "amount_", "ahead_")
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], count_if: Column) -> DataFrame:
+    """``df`` with ``position``, 1 for the first row of the order, and ``total``, the rows that meet ``count_if``.
+
+    Rows are laid in range partitions and sorted there; each carries its partition and its place in it,
+    and only one row per partition is summed up. Equal rows are told apart by where they were read, so a
+    value that many rows share makes no hot partition.
+    """
+    spread = df.withColumn("at_", F.monotonically_increasing_id())
+    keys = [*order, F.col("at_")]
+    laid = spread.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at_", F.monotonically_increasing_id())
+    laid = cut(laid.withColumn("part_", F.shiftrightunsigned("at_", 33)))
+    sizes = laid.groupBy("part_").agg(F.count(F.lit(1)).alias("rows_"), F.sum(count_if.cast("long")).alias("met_"))
+    earlier = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)))
+    sizes = checked_broadcast(sizes.withColumn("total", F.sum("met_").over(Window.partitionBy())).select("part_", "before_", "total"), 1_000_000)
+    place = F.col("before_") + F.col("at_").bitwiseAND((1 << 33) - 1) + 1
+    return laid.join(sizes, "part_").withColumn("position", place).drop("part_", "at_", "before_")
+
+
 def rejoined(docs: DataFrame, slim: DataFrame, keys: dict[str, Column], results: Sequence[str]) -> DataFrame:
     """``docs`` with the columns ``results`` of ``slim``, row for row.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estratia.llm import chat, hosts, leaks, mixing, near, quality, repeats, scoring, secrets, shards
+from estratia.llm import chat, hosts, importance, leaks, mixing, near, quality, repeats, scoring, secrets, shards
 from estratia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,35 @@ def op10_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda s: s["at"] < n_base)
     counts = [F.size(F.filter("found", lambda s, at=at: s["at"] == at)).cast("long").alias(f"n_{secrets.RULES[at].kind}") for at in range(n_base)]
     return out.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown("found").alias("spans"))
+
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWERED = f"translate(coalesce(text, ''), '{hosts.UPPER}', '{hosts.LOWER}')"
+
+
+@query(
+    rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM benchmark),
+df AS (SELECT doc_id, len(w) AS n_words, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+r AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS r),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM bf))),
+k AS (SELECT f, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, y: xor(c // 256, r[xor(c, y) % 256 + 1])), 4294967295) % {importance.BUCKETS} AS k FROM h, r),
+s AS (SELECT k, count(*) AS n FROM df JOIN k USING (f) GROUP BY k), t AS (SELECT k, count(*) AS n FROM bf JOIN k USING (f) GROUP BY k),
+g AS (SELECT k, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * (SELECT coalesce(sum(n), 0) + {importance.BUCKETS} FROM s)
+  / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * (SELECT coalesce(sum(n), 0) + {importance.BUCKETS} FROM t)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (k)),
+w AS (SELECT doc_id, count(*) AS n_features, any_value(n_words) AS n_words, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM df JOIN k USING (f) JOIN g USING (k) GROUP BY doc_id),
+x AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(n_words, 0) AS n_words, coalesce(weight, 0) AS weight,
+  CAST('0x' || substr(sha256('{importance.SEED}:' || d.doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score, n_words >= {importance.MIN_WORDS} AS fit FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS nth, count(*) OVER (PARTITION BY fit) AS many FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+  CASE WHEN fit AND nth <= {importance.SHARE_PERCENT} * many // 100 THEN nth END AS rank FROM z"""
+)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
