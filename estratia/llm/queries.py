@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estratia.llm import chat, hosts, importance, leaks, mixing, near, quality, repeats, scoring, secrets, shards
+from estratia.llm import chat, codes, hosts, importance, leaks, mixing, near, quality, repeats, scoring, secrets, shards
 from estratia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +230,37 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _codes_sql() -> str:
+    width = f"(len(v) // {codes.PARTS})"
+    steps = []
+    for k in range(codes.ROUNDS + 1):
+        steps.append(
+            f"a{k} AS MATERIALIZED (SELECT row, p, min(struct_pack(d := d, e := e)) AS m FROM (SELECT x.row, x.p, b.e, "
+            f"list_sum(list_transform(list_zip(x.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{k} b USING (p)) GROUP BY ALL)"
+        )
+        if k < codes.ROUNDS:
+            steps.append(
+                f"c{k} AS (SELECT p, e, i, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS y FROM (SELECT x.p, m.e AS e, "
+                f"generate_subscripts(w, 1) AS i, unnest(w) AS y FROM x JOIN a{k} USING (row, p)) GROUP BY ALL), "
+                f"n{k} AS (SELECT p, e, list(y ORDER BY i) AS w FROM c{k} GROUP BY ALL), "
+                f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.w, b.w) AS w FROM b{k} b LEFT JOIN n{k} n USING (p, e))"
+            )
+    last = codes.ROUNDS
+    return f"""
+WITH s AS (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda c: CAST(floor({codes.SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT row, p, list_slice(v, p * {width} + 1, (p + 1) * {width}) AS w FROM s, range({codes.PARTS}) r(p)),
+b0 AS MATERIALIZED (SELECT p, row - 1 AS e, w FROM x WHERE row <= {codes.ENTRIES}),
+{", ".join(steps)},
+k AS (SELECT row, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{last} GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM s JOIN k USING (row), h"""
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    shown = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
+    return rows.select("vec_id", shown.alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
