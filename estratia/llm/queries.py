@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estratia.llm import chat, codes, hosts, importance, leaks, mixing, near, quality, repeats, scoring, secrets, shards
+from estratia.llm import chat, codes, hosts, importance, leaks, mixing, near, quality, repeats, scoring, secrets, shards, tries
 from estratia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,3 +264,21 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, books = codes.compress(table(spark, sf_dir, "embeddings"))
     shown = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
     return rows.select("vec_id", shown.alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query(
+    rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '{W}') AS w FROM documents),
+g AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) BETWEEN 1 AND {tries.SHINGLE - 1} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {tries.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {tries.SHINGLE - 1}], ' ')) END)) AS s FROM d),
+m AS MATERIALIZED (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN dense_rank() OVER (ORDER BY s) END AS k, s FROM g),
+u AS (SELECT k, any_value(n) AS n, unnest(any_value(s)) AS x FROM m WHERE k IS NOT NULL GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.x = b.x AND a.k <> b.k AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.k, b.k HAVING 100 * count(*) >= {tries.PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+c(a, b) AS (SELECT k, k FROM u GROUP BY k UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a),
+f AS (SELECT k, min(doc_id) AS doc FROM m WHERE k IS NOT NULL GROUP BY k),
+o AS (SELECT a AS k, min(doc) AS component FROM c JOIN f ON c.b = f.k GROUP BY a)
+SELECT doc_id, n AS n_shingles, CASE WHEN k IS NULL THEN doc_id ELSE component END AS component_id FROM m LEFT JOIN o USING (k)"""
+)
+def op13_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.components(table(spark, sf_dir, "documents")).drop("n_copies")
