@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from estratia import fixed_values as V
 from estratia.functions import columns as C
 from estratia.operators import factors
 from estratia.plans.panel import STRATA_COLUMNS, STRATA_LEVELS
+from estratia.sources.workspace import materialise
 
 LEVELS: Mapping[str, Sequence[str]] = {
     "domain": V.DOMAINS,
@@ -84,6 +86,94 @@ def edition_report(long: DataFrame, strata: str = "strata") -> DataFrame:
     )
 
 
+#: What a slope fit needs of every row beyond the keys of all fits.
+SLOPE_NEEDS = ("congruencia_linguistica", "centro_especializacion")
+OPTIONAL = tuple(c for c in COVARIATES if c not in ALWAYS)
+
+
+@dataclass
+class Settled:
+    """Rows and terms that a fit of one kind ends with, edition by edition.
+
+    ``report`` has n_before, n_eligible (keys, weight and what the kind needs), n_after (without rows
+    that lack a covariate of the model), the levels among these, skipped, reason and has_region.
+    """
+
+    report: DataFrame
+    chosen: dict[int, set[str]]
+    years: list[int]
+    skipped: list[int]
+    with_region: set[int]
+    present: dict[int, dict[str, set[str]]]
+
+
+def _level_sets(counts: DataFrame, strata: str) -> list:
+    """One row per edition: rows and the levels present among the counted combinations."""
+    sets = [F.collect_set(c).alias(c) for c in dict.fromkeys((strata, "ccaa", *COVARIATES))]
+    return counts.groupBy("year").agg(F.sum("_n").alias("_n"), *sets).collect()
+
+
+def settle(long: DataFrame, strata: str = "strata", needed: Sequence[str] = (), drop: bool = False) -> Settled:
+    """Guard and term choice on the rows that a fit really uses.
+
+    With ``drop``, rows that lack a covariate of the model leave, which can leave an optional covariate
+    with one level; it then falls out of the model and its rows come back. As terms only ever fall out, the
+    rounds end in a fixed point after at most one more than there are optional covariates. The rows are read once: rounds run on the
+    number of rows per combination of levels, a table bounded by the levels.
+    """
+    ok = F.coalesce(factors.eligible([strata, "global_school_id", *needed], "stu_wgt"), F.lit(False))
+    columns = list(dict.fromkeys((strata, "ccaa", *COVARIATES)))
+    counts = materialise(scored(long).groupBy("year", ok.alias("_ok"), *columns).agg(F.count(F.lit(1)).alias("_n")))
+    before = {r["year"]: r["n"] for r in counts.groupBy("year").agg(F.sum("_n").alias("n")).collect()}
+    eligible_rows = counts.filter("_ok")
+    found = {r["year"]: r for r in _level_sets(eligible_rows, strata)}
+    eligible_n = {y: r["_n"] for y, r in found.items()}
+    chosen, gone = {y: set(COVARIATES) for y in found}, {y: [] for y in found}
+    while True:
+        fallen = {y: [c for c in OPTIONAL if c in chosen[y] and y in found and len(found[y][c]) < 2] for y in chosen}
+        for y, names in fallen.items():
+            chosen[y] -= set(names)
+            gone[y] += names
+        if drop:
+            kept = {r["year"]: r for r in _level_sets(eligible_rows.filter(known_covariates(chosen)), strata)}
+            if kept == found:
+                break
+            found = kept
+        elif not any(fallen.values()):
+            break
+    rows, years, skipped, regions = [], [], [], set()
+    for y in sorted(before):
+        r = found.get(y)
+        n = r["_n"] if r else 0
+        strata_n = len(r[strata]) if r else 0
+        reason = "no row left" if not n else "fewer than two strata" if strata_n < 2 else None
+        (skipped if reason else years).append(y)
+        if r and len(r["ccaa"]) >= 2:
+            regions.add(y)
+        levels = [len(r[c]) if r else 0 for c in COVARIATES]
+        fallen_terms = ", ".join(gone.get(y, []))
+        rows.append((y, before[y], eligible_n.get(y, 0), n, strata_n, len(r["ccaa"]) if r else 0, *levels, reason is not None, reason, y in regions, fallen_terms))
+    schema = "year int, n_before long, n_eligible long, n_after long, n_strata int, n_ccaa int, "
+    schema += ", ".join(f"n_{c} int" for c in COVARIATES) + ", skipped boolean, reason string, has_region boolean, one_level string"
+    for names in chosen.values():
+        if set(INTERACTION) <= names:
+            names.add(":".join(INTERACTION))
+    present = {y: {c: set(r[c]) for c in COVARIATES} for y, r in found.items()}
+    return Settled(long.sparkSession.createDataFrame(rows, schema), chosen, years, skipped, regions, present)
+
+
+def known_covariates(chosen: Mapping[int, set[str]]) -> Column:
+    """Row has every covariate that its edition's model uses."""
+    result = F.lit(False)
+    for year, names in chosen.items():
+        known = F.col("year") == year
+        for c in COVARIATES:
+            if c in names:
+                known = known & F.col(c).isNotNull()
+        result = result | known
+    return result
+
+
 def term_selection(report: DataFrame) -> DataFrame:
     """Which covariates enter an edition's main model: those with at least two levels present."""
     enough = {c: F.lit(True) if c in ALWAYS else F.col(f"n_{c}") >= 2 for c in COVARIATES}

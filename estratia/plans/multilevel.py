@@ -76,20 +76,17 @@ class Fit:
     slope: bool
     skipped: list[int] = field(default_factory=list)
     dropped_terms: dict[int, list[str]] = field(default_factory=dict)
+    present: dict[int, dict[str, set[str]]] = field(default_factory=dict)  # levels of the covariates
+    terms: list[str] = field(default_factory=list)  # the first model columns; then strata by domain, then regions
+    strata: str = "strata"
+    levels: dict[str, list[str]] = field(default_factory=dict)  # of strata and regions, in column order
+    cell_rows: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.school_rows.sparkSession
 
 
-def _selected(report_rows, year: int) -> set[str]:
-    row = next(r for r in report_rows if r["year"] == year)
-    chosen = {c for c in design.COVARIATES if c in design.ALWAYS or row[f"n_{c}"] >= 2}
-    if set(design.INTERACTION) <= chosen:
-        chosen.add(":".join(design.INTERACTION))
-    return chosen
-
-
 def _term_owner(term: str) -> str:
     """Covariate, or product of covariates, that a term belongs to."""
     if ":" in term:
@@ -97,21 +94,6 @@ def _term_owner(term: str) -> str:
     return next(c for c in sorted(design.LEVELS, key=len, reverse=True) if term.startswith(c))
 
 
-def _known_covariates(chosen: Mapping[int, set[str]]) -> Column:
-    """Row has every covariate that its edition's model uses."""
-    cases = []
-    for year, names in chosen.items():
-        known = F.lit(True)
-        for c in design.COVARIATES:
-            if c in names:
-                known = known & F.col(c).isNotNull()
-        cases.append((F.col("year") == year) & known)
-    result = cases[0]
-    for case in cases[1:]:
-        result = result | case
-    return result
-
-
 def school_rows(cell_rows: DataFrame, active: Column, slope: bool) -> DataFrame:
     """One row per edition and school: its weighted sums by model column, sparse.
 
@@ -119,13 +101,14 @@ def school_rows(cell_rows: DataFrame, active: Column, slope: bool) -> DataFrame:
     once, before they unfold: both aggregations below keep the partitioning by school.
     """
     inc = C.indicator("congruencia_linguistica", "incongruente").cast("double") if slope else F.lit(0.0)
+    kind = F.col("centro_especializacion") if slope else F.lit(None).cast("string")
     unfolded = cell_rows.repartition("year", "global_school_id").select(
-        "year", "global_school_id", "w", "wy", inc.alias("inc"),
+        "year", "global_school_id", "w", "wy", inc.alias("inc"), kind.alias("kind"),
         F.explode(F.concat(active, F.array(F.lit(-1)))).alias("j"),
     )
     sums = unfolded.groupBy("year", "global_school_id", "j").agg(
         F.sum("w").alias("aw"), F.sum(F.col("w") * F.col("inc")).alias("bw"),
-        F.sum("wy").alias("ay"), F.sum(F.col("wy") * F.col("inc")).alias("by"),
+        F.sum("wy").alias("ay"), F.sum(F.col("wy") * F.col("inc")).alias("by"), F.max("kind").alias("kind"),
     )
     own = {n: F.max(F.when(F.col("j") < 0, F.col(n))) for n in ("aw", "bw", "ay", "by")}
     listed = F.array_sort(F.collect_list(F.when(F.col("j") >= 0, F.struct("j", "aw", "bw"))))
@@ -133,10 +116,10 @@ def school_rows(cell_rows: DataFrame, active: Column, slope: bool) -> DataFrame:
         sums.groupBy("year", "global_school_id")
         .agg(
             own["aw"].alias("d"), own["bw"].alias("d1"), own["ay"].alias("r"), own["by"].alias("r1"),
-            listed.alias("_cols"),
+            F.max("kind").alias("kind"), listed.alias("_cols"),
         )
         .select(
-            "year", "global_school_id", "d", "d1", "r", "r1",
+            "year", "global_school_id", "kind", "d", "d1", "r", "r1",
             F.col("_cols.j").alias("j"), F.col("_cols.aw").alias("a"), F.col("_cols.bw").alias("b"),
         )
     )
@@ -194,33 +177,34 @@ def fit(
     kind: str = "null",
     strata: str = "strata",
     weights: str = "likelihood",
-    null_covariate: str = "drop",
+    null_covariate: str = "reference",
     scale: tuple[float, float] | None = None,
 ) -> Fit:
     """Fits every edition that has the data; ``kind`` is null, main or slope.
 
     ``weights``: likelihood multiplies each row's log-likelihood by its weight, precision divides
     its residual variance by it, normalised is likelihood with weights that sum to the rows.
-    ``null_covariate``: drop rows that lack a covariate of the model, or treat it as its reference.
+    ``null_covariate``: take a missing covariate as its reference level, or drop rows that lack a covariate of
+    the main model. Both hold for the null model too, so that null and main are fitted to the same rows.
+    An edition without rows, or with fewer than two strata, is skipped; no fittable edition gives an empty fit.
     """
     if kind not in ("null", "main", "slope"):
         raise ValueError(f"unknown model {kind!r}")
+    if null_covariate not in ("reference", "drop"):
+        raise ValueError(f"unknown treatment of missing covariates {null_covariate!r}")
     if weights not in ("likelihood", "precision", "normalised"):
         raise ValueError(f"unknown weights {weights!r}")
     slope = kind == "slope"
-    extra = ["congruencia_linguistica", "centro_especializacion"] if slope else []
+    drop = null_covariate == "drop"
+    extra = list(design.SLOPE_NEEDS) if slope else []
     mean, sd = scale or factors.score_scale(long, "score")
-    report = design.edition_report(long, strata)
-    report_rows = report.collect()  # one row per edition
-    years = sorted(r["year"] for r in report_rows if not r["skipped"])
-    skipped = sorted(r["year"] for r in report_rows if r["skipped"])
-    with_region = {r["year"] for r in report_rows if r["has_region"]}
+    settled = design.settle(long, strata, extra, drop)
+    years, skipped, chosen, with_region = settled.years, settled.skipped, settled.chosen, settled.with_region
 
     rows = design.model_rows(long, strata, extra, (mean, sd)).filter(F.col("year").isin(years))
     terms = design.term_conditions(() if kind == "null" else design.COVARIATES)
-    chosen = {y: _selected(report_rows, y) for y in years}
-    if kind != "null" and null_covariate == "drop":
-        rows = rows.filter(_known_covariates(chosen))
+    if drop:
+        rows = rows.filter(design.known_covariates(chosen))
     names = list(terms)
 
     s_codes, r_codes = design.strata_codes(long, strata), factors.level_codes(long, "ccaa", [F.col("ccaa")], "region_id")
@@ -248,9 +232,6 @@ def fit(
     totals = cell_rows.groupBy("year").agg(*[F.sum(c).alias(c) for c in ("n", "w", "wyy")]).toPandas().set_index("year")
     schools = materialise(school_rows(coded, F.col("_active"), slope))
     n_schools = {r["year"]: r["n"] for r in schools.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Editions without any row left by the covariates or the slope are skipped ones too
-    skipped = sorted([*skipped, *(y for y in years if not n_schools.get(y))])
-    years = [y for y in years if n_schools.get(y)]
     n_tasks = max(1, math.ceil(sum(n_schools.values()) / SCHOOLS_PER_TASK))
     schools = schools.coalesce(n_tasks) if n_tasks < 64 else schools
 
@@ -316,7 +297,8 @@ def fit(
         )
         for y in years
     }
-    return Fit(kind, sd, fits, report, schools, rows, n_columns, slope, skipped, dropped)
+    levels = {c: [r[0] for r in codes.orderBy(f"{i}").collect()] for c, codes, i in ((strata, s_codes, f"{strata}_id"), ("ccaa", r_codes, "region_id"))}
+    return Fit(kind, sd, fits, settled.report, schools, rows, n_columns, slope, skipped, dropped, settled.present, names, strata, levels, cell_rows)
 
 
 def convergence(f: Fit) -> DataFrame:
@@ -347,30 +329,38 @@ def fixed_effects(f: Fit) -> DataFrame:
     return C.with_points(table, f.score_sd)
 
 
+def total_combinations(f: Fit, year: int) -> dict[str, np.ndarray]:
+    """For each school type of the edition, the fixed terms whose sum is the total effect of incongruence there.
+
+    A type without incongruent pupils has no total effect.
+    """
+    a, b = design.INTERACTION
+    main = f"{a}{design.LEVELS[a][1]}"
+    terms = f.editions[year].terms
+    out = {}
+    for i, level in enumerate(design.LEVELS[b]):
+        product = f"{main}:{b}{level}"
+        if main not in terms or level not in f.present[year][b] or (i and product not in terms):
+            continue
+        out[level] = np.array([float(t in (main, product)) for t in terms])
+    return out
+
+
 def total_effects(f: Fit) -> DataFrame:
     """Effect of incongruence within each school type: main effect plus its interaction.
 
     The interval comes from the joint covariance of the two coefficients.
     """
-    a, b = design.INTERACTION
-    main = f"{a}{design.LEVELS[a][1]}"
     rows = []
     for y, e in f.editions.items():
-        if main not in e.terms or not any(":" in t for t in e.terms):
+        if not any(":" in t for t in e.terms):
             continue
         mean, cov = e.fixed
         names, combos = [], []
-        for i, level in enumerate(design.LEVELS[b]):
-            product = f"{main}:{b}{level}"
-            if i and product not in e.terms:
-                continue
-            combo = np.zeros(len(mean))
-            combo[e.terms.index(main)] = 1.0
-            if i:
-                combo[e.terms.index(product)] = 1.0
+        for level, combo in total_combinations(f, y).items():
             names.append(f"total_incongruente_{level}")
             combos.append(combo)
-        combos = np.array(combos)
+        combos = np.array(combos).reshape(-1, len(mean))
         sd = np.sqrt(np.einsum("ki,ij,kj->k", combos, cov, combos))
         rows += _interval_rows(y, names, combos @ mean, sd)
     table = f.spark.createDataFrame(rows, "year int, term string, estimate double, ci_low double, ci_high double")
@@ -383,7 +373,7 @@ def variance_draws(f: Fit, n_draws: int = V.N_DRAWS, seed: int = 20) -> DataFram
     Tasks draw blocks, each seeded by edition, model and block, so a rerun gives the same rows.
     """
     block = 500
-    blocks = f.spark.range(0, math.ceil(n_draws / block) * len(f.editions), numPartitions=len(f.editions))
+    blocks = f.spark.range(0, math.ceil(n_draws / block) * len(f.editions), numPartitions=max(1, len(f.editions)))
     parts = {
         y: (e.mode.t, np.linalg.cholesky(e.mode.covariance), len(e.system.grid.centre), e.system.n_regions)
         for y, e in f.editions.items()
@@ -413,7 +403,11 @@ def components(f: Fit) -> DataFrame:
 
 
 def school_effects(f: Fit) -> DataFrame:
-    """Mean and sd of every school's effect (and slope), worked out where its row lies."""
+    """Mean and sd of every school's effect (and slope), worked out where its row lies.
+
+    A slope fit also gives the total effect of incongruence in the school: main effect, interaction of
+    its type and own slope, with the sd of their joint distribution; null without a total for the type.
+    """
     n_columns, slope = f.n_columns, f.slope
     solved = {}
     for y, e in f.editions.items():
@@ -421,24 +415,32 @@ def school_effects(f: Fit) -> DataFrame:
         theta[e.columns] = e.mode.theta
         inverse[np.ix_(e.columns, e.columns)] = e.mode.inverse
         te, tv, _, _ = e.parts
-        solved[y] = theta, inverse, np.exp(2 * (te - tv)), np.exp(2 * te), e.scale
+        combos = {}
+        for level, combo in (total_combinations(f, y).items() if slope else ()):
+            combos[level] = np.zeros(n_columns)
+            combos[level][e.columns[: len(combo)]] = combo
+        solved[y] = theta, inverse, np.exp(2 * (te - tv)), np.exp(2 * te), e.scale, combos
     shared = f.spark.sparkContext.broadcast(solved)  # model-sized
 
-    schema = "year int, global_school_id string, effect_mean double, effect_sd double, slope_mean double, slope_sd double"
+    names = ("effect", "slope", "total")
+    schema = "year int, global_school_id string, " + ", ".join(f"{n}_{x} double" for n in names for x in ("mean", "sd"))
     effects = f.school_rows.mapInPandas(tasks.solve_schools(shared, n_columns, slope), schema)
-    return effects.withColumns({c: C.clean(c) for c in ("slope_mean", "slope_sd")})
+    return effects.withColumns({f"{n}_{x}": C.clean(f"{n}_{x}") for n in names[1:] for x in ("mean", "sd")})
 
 
 def slope_ranking(f: Fit) -> DataFrame:
     """Schools with their slope in points, support, attributes and flag, highest slope first."""
     key = ["year", "global_school_id"]
     sd = F.lit(f.score_sd)
-    half = F.lit(Z95) * F.col("slope_sd")
+
+    def interval(name: str, *into: str):
+        half = F.lit(Z95) * F.col(f"{name}_sd")
+        mean = F.col(f"{name}_mean")
+        return [(x * sd).alias(c) for x, c in zip((mean, mean - half, mean + half), into)]
+
+    totals = ("total_puntos", "total_low_puntos", "total_high_puntos")
     slopes = school_effects(f).select(
-        *key,
-        (F.col("slope_mean") * sd).alias("slope_puntos"),
-        ((F.col("slope_mean") - half) * sd).alias("ci_low_puntos"),
-        ((F.col("slope_mean") + half) * sd).alias("ci_high_puntos"),
+        *key, *interval("slope", "slope_puntos", "ci_low_puntos", "ci_high_puntos"), *interval("total", *totals)
     )
     flag = F.col("congruencia_linguistica") == "incongruente"
     counts = A.entity_counts(f.rows, key, ["student_id"], flag, "n_alumnos_colegio", "n_incongruentes")
@@ -450,7 +452,7 @@ def slope_ranking(f: Fit) -> DataFrame:
         .withColumn("positivo_significativo", F.col("ci_low_puntos") > 0)
         .select(
             "year", "school_id_num", "global_school_id", "ccaa", "centro_especializacion", "n_incongruentes",
-            "n_alumnos_colegio", "slope_puntos", "ci_low_puntos", "ci_high_puntos", "positivo_significativo",
+            "n_alumnos_colegio", "slope_puntos", "ci_low_puntos", "ci_high_puntos", "positivo_significativo", *totals,
         )
         .orderBy("year", F.desc_nulls_last("slope_puntos"))
     )

@@ -98,21 +98,27 @@ def solve_schools(shared, n_columns: int, slope: bool):
             for year, part in batch.groupby("year"):
                 if year not in shared.value:
                     continue
-                theta, inverse, ratios, s2, scale = shared.value[year]
+                theta, inverse, ratios, s2, scale, combos = shared.value[year]
                 a, d, r = dense(part, n_columns, slope, scale)
                 upper, _ = own_inverse(d, ratios)
                 m = len(a)
                 h = {(e, g): upper[min(e, g), max(e, g)] for e in range(m) for g in range(m)}
                 left = [r[e] - a[e] @ theta for e in range(m)]
                 out = {"year": part["year"].to_numpy(), "global_school_id": part["global_school_id"].to_numpy()}
-                for k, name in enumerate(("effect", "slope")):
-                    if k >= m:
-                        out[f"{name}_mean"] = out[f"{name}_sd"] = np.full(len(part), np.nan)
-                        continue
+                for name in ("slope", "total"):
+                    out[f"{name}_mean"], out[f"{name}_sd"] = np.full(len(part), np.nan), np.full(len(part), np.nan)
+                for k, name in enumerate(("effect", "slope")[:m]):
                     load = sum(h[k, e][:, None] * a[e] for e in range(m))
                     spread = h[k, k] + np.einsum("si,si->s", load @ inverse, load)
                     out[f"{name}_mean"] = sum(h[k, e] * left[e] for e in range(m))
                     out[f"{name}_sd"] = np.sqrt(s2 * spread)
+                # Own slope and fixed terms move together: the own part given the terms is -load @ terms
+                kinds = part["kind"].to_numpy()
+                for level, combo in combos.items():
+                    at = kinds == level
+                    joint = combo - load[at]
+                    out["total_mean"][at] = out["slope_mean"][at] + combo @ theta
+                    out["total_sd"][at] = np.sqrt(s2 * (h[1, 1][at] + np.einsum("si,si->s", joint @ inverse, joint)))
                 yield pd.DataFrame(out)
 
     return run

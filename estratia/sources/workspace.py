@@ -49,7 +49,7 @@ def materialise(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/estratia/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     write_stage(df, path, partition_by)
-    return spark.read.parquet(path).select(*df.columns)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def stage_path(

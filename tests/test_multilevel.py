@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from estratia import fixed_values as V
 from estratia.plans import mode as M
-from estratia.plans import multilevel, variance
+from estratia.plans import design, multilevel, variance
 from estratia.plans.panel import STRATA_COLUMNS, STRATA_LEVELS
 
 OMEGA = np.array([[0.30, 0.15, 0.10], [0.15, 0.25, 0.12], [0.10, 0.12, 0.20]])
@@ -254,9 +254,55 @@ def test_edition_without_data_is_skipped_and_reported(spark):
 def test_missing_covariate_rows_are_dropped_or_kept(spark):
     long, _, _ = simulate(seed=8, missing=0.1)
     df = frame(spark, long).cache()
-    dropped = multilevel.fit(df, "main", scale=(0.0, 1.0)).editions[2022]
-    kept = multilevel.fit(df, "main", null_covariate="reference", scale=(0.0, 1.0)).editions[2022]
-    assert dropped.n_rows == long["public_private"].notna().sum() and kept.n_rows == len(long)
+    rows = {(kind, how): multilevel.fit(df, kind, null_covariate=how, scale=(0.0, 1.0)).editions[2022].n_rows for kind in ("null", "main") for how in ("drop", "reference")}
+    assert rows["main", "drop"] == rows["null", "drop"] == long["public_private"].notna().sum()
+    assert rows["main", "reference"] == rows["null", "reference"] == len(long)
+
+
+def test_fit_without_a_fittable_edition_is_empty(spark):
+    long, _, _ = simulate(seed=6)
+    df = frame(spark, long.head(40).assign(strata=None))
+    for kind in ("null", "main", "slope"):
+        fit = multilevel.fit(df, kind, scale=(0.0, 1.0))
+        assert fit.skipped == [2022] and not fit.editions
+        assert multilevel.fixed_effects(fit).count() == multilevel.school_effects(fit).count() == multilevel.variance_draws(fit, 10).count() == 0
+        assert fit.report.first()["reason"] == "no row left"
+
+
+def test_guard_and_terms_hold_on_the_rows_of_the_kind(spark):
+    long, _, _ = simulate(seed=13)
+    # The slope leaves one stratum; missing ownership leaves one school type, whose rows then come back
+    long["centro_especializacion"] = long["centro_especializacion"].where(long["strata"] == long["strata"].iloc[0])
+    fit = multilevel.fit(frame(spark, long), "slope", scale=(0.0, 1.0))
+    assert fit.skipped == [2022] and fit.report.first()["reason"] == "fewer than two strata"
+    long, _, _ = simulate(seed=13)
+    long["public_private"] = long["public_private"].where(long["centro_especializacion"] == V.SCHOOL_TYPE[0])
+    settled = design.settle(frame(spark, long), drop=True)
+    only = long["public_private"].notna() & long["centro_especializacion"].notna()
+    row = settled.report.first()
+    assert row["n_after"] == only.sum() and row["one_level"] == "centro_especializacion"
+    assert "centro_especializacion" not in settled.chosen[2022] and "public_private" in settled.chosen[2022]
+
+
+def test_absent_base_type_has_no_total_effect(spark):
+    long, _, _ = simulate(seed=4)
+    fit = multilevel.fit(frame(spark, long[long["centro_especializacion"] != V.SCHOOL_TYPE[0]]), "main", scale=(0.0, 1.0))
+    assert {r["term"] for r in multilevel.total_effects(fit).collect()} == {f"total_incongruente_{t}" for t in V.SCHOOL_TYPE[1:]}
+
+
+def test_total_effect_of_a_school_has_the_interval_of_the_dense_solution(panel):
+    long, df, _, _ = panel
+    fit = multilevel.fit(df, "slope", scale=(0.0, 1.0))
+    theta, cov, n_school, _, _ = dense(long, fit)
+    q, schools = len(theta) - n_school, sorted(long["global_school_id"].unique())
+    kind = long.groupby("global_school_id")["centro_especializacion"].first()
+    combos = multilevel.total_combinations(fit, 2022)
+    for r in multilevel.school_effects(fit).collect():
+        c = np.zeros(len(theta))
+        c[: len(combos[kind[r["global_school_id"]]])] = combos[kind[r["global_school_id"]]]
+        c[q + len(schools) + schools.index(r["global_school_id"])] = 1.0
+        assert r["total_mean"] == pytest.approx(c @ theta, abs=1e-6)
+        assert r["total_sd"] == pytest.approx(np.sqrt(c @ cov @ c), rel=1e-6)
 
 
 def test_weight_modes(spark):
