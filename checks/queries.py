@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -168,7 +169,7 @@ def _(s: Study):
     over_pooled("SELECT year, count(*) AS n, count(DISTINCT global_school_id) AS n_schools FROM pooled GROUP BY ALL"),
 )
 def _(s: Study):
-    path = f"{shared_folder(s.spark)}/estratia/{s.spark.sparkContext.applicationId}/s10-{abs(hash(s.sf_dir))}"
+    path = f"{shared_folder(s.spark)}/estratia/{s.spark.sparkContext.applicationId}/s10-{hashlib.md5(s.sf_dir.encode()).hexdigest()}"
     write_stage(s.pooled, path, ["year"])
     # an edition that comes again replaces its own partition and leaves the others
     append_edition(s.pooled.filter("year = 2025"), path)
@@ -538,11 +539,30 @@ def _(s: Study):
     return A.frequency(labelled, ["centro_especializacion", "tipo_centro"])
 
 
-@query("p27_formatted_intervals")
+_NUMBER = "printf('%+.1f', {0})"
+_EFFECT_SQL = (
+    "printf('%+.1f [%+.1f, %+.1f]', estimate_puntos, ci_low_puntos, ci_high_puntos) || "
+    "CASE WHEN ci_low_puntos < 0 AND ci_high_puntos > 0 THEN ' (n.s.)' ELSE '' END"
+)
+#: Sums of doubles differ in their last bits between engines; the printed number is that of six decimals
+_SIX_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in _EST + _PTS)
+
+
+def _six(df: DataFrame) -> DataFrame:
+    return C.round_columns(df, [*_EST, *_PTS], 6)
+
+
+@query(
+    "p27_formatted_intervals",
+    over_effects(
+        f"SELECT year, term, {', '.join(_PTS)}, {_EFFECT_SQL} AS efecto, printf('%.1f%% [%.1f%%, %.1f%%]', estimate * 100, ci_low * 100, ci_high * 100) AS porcentaje, "
+        f"printf('%+.1f pp', estimate_puntos) AS pp, printf('%.0f%%', estimate * 100) AS entero FROM (SELECT year, term, {_SIX_SQL} FROM term_means)"
+    ),
+)
 def _(s: Study):
-    return s.raw_effects_in_points().select(
-        "year", "term", *_PTS, C.format_effect(*_PTS).alias("efecto"),
-        C.format_percent_interval(*_EST).alias("porcentaje"), C.format_points_difference("estimate_puntos").alias("pp"),
+    return _six(s.raw_effects_in_points()).select(
+        "year", "term", *_PTS, C.format_effect(*_PTS).alias("efecto"), C.format_percent_interval(*_EST).alias("porcentaje"),
+        C.format_points_difference("estimate_puntos").alias("pp"), C.format_percent("estimate", 0).alias("entero"),
     )
 
 
@@ -624,6 +644,49 @@ def _(s: Study):
     return design.edition_report(s.long).select("year", "n_before", "n_after", "pct_dropped")
 
 
+# rows and terms that each kind of fit ends with: strata, further needs, whether rows without a covariate leave
+SETTLED_KINDS = {
+    "main": ("strata", (), False),
+    "ablation": ("strata_4dim", (), False),
+    "slope": ("strata", design.SLOPE_NEEDS, False),
+    "main_drop": ("strata", (), True),
+    "slope_drop": ("strata", design.SLOPE_NEEDS, True),
+}
+
+
+def eligible_sql(strata: str, needed=()) -> str:
+    return " AND ".join(["score IS NOT NULL", "global_school_id IS NOT NULL", "stu_wgt > 0", *(f"{c} IS NOT NULL" for c in (strata, *needed))])
+
+
+def _settled_sql(kind: str) -> str:
+    strata, needed, drop = SETTLED_KINDS[kind]
+    counts = ", ".join(f"count(DISTINCT {c}) AS n_{c}" for c in design.COVARIATES)
+    fits = f"(SELECT * FROM longp WHERE {eligible_sql(strata, needed)})"
+    optional = design.OPTIONAL
+    # A covariate falls out for good once it has one level; there are as many rounds as can change anything
+    steps = [f"r0 AS (SELECT y.year, {', '.join(f'true AS u_{c}' for c in optional)} FROM (SELECT DISTINCT year FROM longp WHERE score IS NOT NULL) y)"]
+    last = "r0"
+    rounds = len(optional) + 1
+    for k in range(rounds):
+        always = " AND ".join(f"{c} IS NOT NULL" for c in design.ALWAYS)
+        known = " AND ".join([always, *(f"({c} IS NOT NULL OR NOT u_{c})" for c in optional)]) if drop and k else "true"
+        steps.append(f"c{k} AS (SELECT year, {counts}, count(*) AS n FROM {fits} f JOIN {last} USING (year) WHERE {known} GROUP BY year)")
+        steps.append(f"r{k + 1} AS (SELECT year, {', '.join(f'u_{c} AND coalesce(n_{c} >= 2, true) AS u_{c}' for c in optional)} FROM {last} LEFT JOIN c{k} USING (year))")
+        last = f"r{k + 1}"
+    known = " AND ".join([*(f"{c} IS NOT NULL" for c in design.ALWAYS), *(f"({c} IS NOT NULL OR NOT u_{c})" for c in optional)]) if drop else "true"
+    gone = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT u_{c} THEN '{c}' END" for c in optional) + "], lambda x: x IS NOT NULL), ', ')"
+    return (
+        f"SELECT * FROM (WITH {', '.join(steps)}, b AS (SELECT year, count(*) AS n_before FROM longp WHERE score IS NOT NULL GROUP BY year), "
+        f"e AS (SELECT year, count(*) AS n FROM {fits} GROUP BY year), "
+        f"a AS (SELECT year, count(*) AS n, count(DISTINCT {strata})::INTEGER AS s, count(DISTINCT ccaa) AS c FROM {fits} f JOIN {last} USING (year) WHERE {known} GROUP BY year), "
+        f"g AS (SELECT year, {gone} AS gone FROM {last}) "
+        f"SELECT '{kind}' AS kind, year, n_before, coalesce(e.n, 0) AS n_eligible, coalesce(a.n, 0) AS n_after, coalesce(s, 0)::INTEGER AS n_strata, "
+        "coalesce(s, 0) < 2 AS skipped, CASE WHEN coalesce(a.n, 0) = 0 THEN 'no row left' WHEN s < 2 THEN 'fewer than two strata' END AS reason, "
+        "coalesce(c >= 2, false) AS has_region, CASE WHEN e.n IS NULL THEN '' ELSE gone END AS one_level "
+        "FROM b LEFT JOIN e USING (year) LEFT JOIN a USING (year) LEFT JOIN g USING (year))"
+    )
+
+
 @query("f04_regex_filter", over_pooled("SELECT year, ccaa, count(*) AS n FROM pooled WHERE regexp_matches(ccaa, 'Vasco|Navarra') GROUP BY ALL"))
 def _(s: Study):
     return A.frequency(s.pooled.filter(F.col("ccaa").rlike("Vasco|Navarra")), ["year", "ccaa"])
@@ -670,19 +733,29 @@ def _(s: Study):
     return reports.supported(s.raw_slopes())
 
 
+_KIND_PATTERNS = {"product": ":", "incongruent": "incongruente", "background": "^(gender|parent_educ|escs_q|immig)", "regional": "regional$"}
+
+
 @query(
     "f07_select_terms",
     over_effects(
         "SELECT year, term, round(estimate, 6) AS estimate, kind FROM term_means JOIN (VALUES "
-        + ", ".join(f"('{k}', '{p}')" for k, p in reports.TERM_PATTERNS.items())
+        + ", ".join(f"('{k}', '{p}')" for k, p in _KIND_PATTERNS.items())
         + ") p(kind, pattern) ON regexp_matches(term, pattern)"
     ),
 )
 def _(s: Study):
-    effects = s.raw_effects().select("year", "term", "estimate")
-    kinds = F.array_compact(F.array(*[F.when(F.col("term").rlike(p), F.lit(k)) for k, p in reports.TERM_PATTERNS.items()]))
-    return effects.withColumn("kind", F.explode(kinds))
+    return reports.matching_terms(s.raw_effects().select("year", "term", "estimate"), _KIND_PATTERNS)
+
 
+# the terms of a table, by how their names begin
+_TERMS_SQL = {
+    "congruence": "starts_with(term, 'congruencia_linguistica') AND NOT contains(term, ':')",
+    "school_type": "starts_with(term, 'centro_especializacion')",
+    "interaction": "contains(term, ':')",
+    "ownership": "starts_with(term, 'public_private')",
+    "origin": "starts_with(term, 'immig')",
+}
 
 # variance shares from the stand-in draws, as text
 _PAIRS = [(a, b) for i, a in enumerate(V.DOMAINS) for b in V.DOMAINS[i + 1 :]]
@@ -1170,7 +1243,8 @@ def _(s: Study):
 
 _RANKED = (
     "SELECT year, (row_number() OVER (PARTITION BY year ORDER BY slope_puntos NULLS FIRST, global_school_id))::INTEGER AS orden, global_school_id, "
-    f"{_TYPE_LABEL.format('centro_especializacion')} AS tipo_centro, round(slope_puntos, 6) AS slope_puntos FROM ranking WHERE n_incongruentes >= 5"
+    f"{_TYPE_LABEL.format('centro_especializacion')} AS tipo_centro, round(slope_puntos, 6) AS slope_puntos, "
+    "round(ci_low_puntos, 6) AS ci_low_puntos, round(ci_high_puntos, 6) AS ci_high_puntos FROM ranking WHERE n_incongruentes >= 5"
 )
 
 
@@ -1301,7 +1375,7 @@ def _shift_sql(digits: int, select: str) -> str:
 
 
 def _known_mix(s: Study) -> DataFrame:
-    return composition.school_type_mix(s.prep.filter(F.col("stu_wgt").isNotNull()))
+    return composition.school_type_mix(s.prep, missing="leave_out")
 
 
 @query("r04_pivot_with_delta", _shift_sql(6, "centro_especializacion"))
@@ -1415,10 +1489,14 @@ SQL["m17_ablation_comparison"] = over_draws(_ABLATION_ROUNDED)
 
 @query(
     "m18_skipped_editions",
-    over_long(f"SELECT year, n_before, n_after, n_strata::INTEGER AS n_strata, (n_after = 0 OR n_strata < 2) AS skipped FROM ({_REPORT_SQL})"),
+    over_long(" UNION ALL ".join(_settled_sql(kind) for kind in SETTLED_KINDS)),
 )
 def _(s: Study):
-    return design.edition_report(s.long).select("year", "n_before", "n_after", "n_strata", "skipped")
+    out = None
+    for kind, (strata, needed, drop) in SETTLED_KINDS.items():
+        report = design.settle(s.long, strata, needed, drop).report.withColumn("kind", F.lit(kind))
+        out = report if out is None else out.unionByName(report)
+    return out.select("kind", "year", "n_before", "n_eligible", "n_after", "n_strata", "skipped", "reason", "has_region", "one_level")
 
 
 # ---------------------------------------------------------------- chapter data
@@ -1445,12 +1523,14 @@ def _(s: Study):
 
 
 def _effect_sql(which: str) -> str:
-    return over_effects(f"SELECT year, term, {_PTS_SQL} FROM term_means WHERE regexp_matches(term, '{reports.TERM_PATTERNS[which]}')")
+    return over_effects(
+        f"SELECT year, term, {', '.join(_PTS)}, {_EFFECT_SQL} AS efecto FROM (SELECT year, term, {_SIX_SQL} FROM term_means) "
+        f"WHERE {_TERMS_SQL[which]}"
+    )
 
 
 def _effect_rows(s: Study, which: str) -> DataFrame:
-    # the printed text is left to its own tests; the numbers beside it are compared
-    return reports.effect_table(s.raw_effects_in_points(), which).drop("efecto")
+    return reports.effect_table(_six(s.raw_effects_in_points()), which)
 
 
 @query("q04_congruence_effect", _effect_sql("congruence"))
@@ -1461,12 +1541,12 @@ def _(s: Study):
 @query(
     "q05_interaction_by_type",
     over_effects(
-        f"SELECT year, CASE WHEN term LIKE '%mixto%' THEN 'Mixto' ELSE 'Monolingüe cooficial' END AS tipo_centro, {_PTS_SQL} "
-        f"FROM term_means WHERE regexp_matches(term, '{reports.TERM_PATTERNS['interaction']}')"
+        f"SELECT year, CASE WHEN term LIKE '%mixto%' THEN 'Mixto' ELSE 'Monolingüe cooficial' END AS tipo_centro, {', '.join(_PTS)}, {_EFFECT_SQL} AS efecto "
+        f"FROM (SELECT year, term, {_SIX_SQL} FROM term_means) WHERE {_TERMS_SQL['interaction']}"
     ),
 )
 def _(s: Study):
-    return reports.interaction_table(s.raw_effects_in_points()).drop("efecto")
+    return reports.interaction_table(_six(s.raw_effects_in_points()))
 
 
 _TOTALS = f"""{_MODEL},
@@ -1481,12 +1561,12 @@ totals AS (
 @query(
     "q06_total_effect_by_type",
     over_long("").rstrip("\n")
-    + f",\n{_TOTALS}\nSELECT year, {_TYPE_LABEL.format('centro_especializacion')} AS tipo_centro, {r('gap * 100', 'estimate_puntos')}, "
-    f"{r('(gap - half) * 100', 'ci_low_puntos')}, {r('(gap + half) * 100', 'ci_high_puntos')}, "
-    f"{_SIG.format('gap - half', 'gap + half')} AS sig FROM totals",
+    + f",\n{_TOTALS}\nSELECT *, {_SIG.format('ci_low_puntos', 'ci_high_puntos')} AS sig, {_EFFECT_SQL} AS efecto FROM ("
+    f"SELECT year, {_TYPE_LABEL.format('centro_especializacion')} AS tipo_centro, {r('gap * 100', 'estimate_puntos')}, "
+    f"{r('(gap - half) * 100', 'ci_low_puntos')}, {r('(gap + half) * 100', 'ci_high_puntos')} FROM totals)",
 )
 def _(s: Study):
-    return reports.total_effect_table(s.raw_totals()).drop("efecto")
+    return reports.total_effect_table(_six(s.raw_totals()))
 
 
 @query("q07_ownership_effect", _effect_sql("ownership"))
@@ -1516,6 +1596,17 @@ def _(s: Study):
     return _ablation(s).filter(~((F.col("year") == 2018) & (F.col("domain") == "read")))
 
 
+@query(
+    "q09b_ablation_text",
+    over_draws(
+        "SELECT year, domain, printf('%.1f%%', vpc_mean_4dim * 100) AS vpc_4dim, printf('%.1f%%', vpc_mean_5dim * 100) AS vpc_5dim, "
+        f"printf('%+.1f pp', diferencia_pp) AS diferencia FROM ({_ABLATION_ROUNDED})"
+    ),
+)
+def _(s: Study):
+    return reports.ablation_table(C.round_doubles(_ablation(s)))
+
+
 @query("q10_pcv_wide", over_draws(_wide("pcv_mean", "SELECT * FROM pcv", V.DOMAINS)))
 def _(s: Study):
     return reports.mean_by_domain(variance.pcv_by_domain(s.draws_of("null"), s.draws_of("main")), "pcv")
@@ -1531,7 +1622,7 @@ def _(s: Study):
     over_effects(
         f"SELECT year, CASE WHEN term LIKE '%regional%' THEN 'Monolingüe cooficial' ELSE 'Mixto' END AS tipo_centro, {_PTS_SQL}, "
         f"{_SIG.format('term_means.ci_low_puntos', 'term_means.ci_high_puntos')} AS sig FROM term_means "
-        f"WHERE regexp_matches(term, '{reports.TERM_PATTERNS['school_type']}')"
+        f"WHERE {_TERMS_SQL['school_type']}"
     ),
 )
 def _(s: Study):
@@ -1555,6 +1646,35 @@ def _(s: Study):
     return composition.migrant_share(s.prep, ["year", "ccaa"]).join(joins.checked_broadcast(line), "year")
 
 
+@query(
+    "q14b_migrant_share_by_school_type",
+    over_prep(
+        f"SELECT a.year, {_TYPE_LABEL.format('centro_especializacion')} AS tipo_centro, {r('a.p', 'pct_no_nativo')}, n, {r('b.p', 'pct_conjunto')} FROM "
+        f"(SELECT year, centro_especializacion, {_MIGRANT} AS p, count(*) AS n FROM prep WHERE centro_especializacion IS NOT NULL GROUP BY ALL) a "
+        f"JOIN (SELECT year, {_MIGRANT} AS p FROM prep GROUP BY ALL) b USING (year)"
+    ),
+)
+def _(s: Study):
+    line = composition.migrant_share(s.prep, ["year"]).select("year", F.col("pct_no_nativo").alias("pct_conjunto"))
+    shares = composition.migrant_share(s.prep, ["year", "centro_especializacion"]).join(joins.checked_broadcast(line), "year")
+    return shares.select("year", reports.school_type_label().alias("tipo_centro"), "pct_no_nativo", "n", "pct_conjunto")
+
+
+def _incongruent_sql(where: str, tag: str) -> str:
+    known = "centro_especializacion IS NOT NULL AND congruencia_linguistica IS NOT NULL" + where
+    shares = _share_sql("year, centro_especializacion", "congruencia_linguistica", known, "p")
+    return f"SELECT year, centro_especializacion, round(p, 6) AS pct_incongruente, '{tag}' AS pesos FROM ({shares}) WHERE congruencia_linguistica = 'incongruente'"
+
+
+@query(
+    "q14c_incongruent_share_by_school_type",
+    over_prep(_incongruent_sql("", "null") + " UNION ALL " + _incongruent_sql(" AND stu_wgt IS NOT NULL", "leave_out")),
+)
+def _(s: Study):
+    strict, known = (composition.incongruent_share(s.prep, m).withColumn("pesos", F.lit(m)) for m in ("null", "leave_out"))
+    return strict.unionByName(known)
+
+
 @query("q15_region_shift", _shift_sql(1, f"{_TYPE_LABEL.format('centro_especializacion')} AS tipo_centro"))
 def _(s: Study):
     shift = thresholds.region_shift(_known_mix(s)).withColumn("tipo_centro", reports.school_type_label())
@@ -1607,7 +1727,7 @@ _CONTRAST = (
     "SELECT ccaa, centro_especializacion, CASE WHEN congruencia_detalle LIKE 'congruente%' THEN 'Congruente' "
     "WHEN congruencia_detalle LIKE '%casa_otro' THEN 'Incongruente, migrante' ELSE 'Incongruente, no migrante' END AS perfil, "
     + wmean("score", "stu_wgt")
-    + " AS score_medio, count(DISTINCT (year, student_id)) AS n_alumnos FROM longp WHERE regexp_matches(ccaa, 'Vasco|Navarra') "
+    + " AS score_medio, count(DISTINCT student_id) AS n_alumnos FROM longp WHERE regexp_matches(ccaa, 'Vasco|Navarra') "
     "AND centro_especializacion LIKE 'monolingue%' AND congruencia_detalle IS NOT NULL {0} GROUP BY ALL"
 )
 

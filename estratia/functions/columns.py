@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -153,25 +153,60 @@ def label_of(c: str | Column, labels: Mapping[str, str]) -> Column:
     return recode(c, {label: [code] for code, label in labels.items()})
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def fixed_text(c: str | Column, digits: int = 1, plus: bool = False) -> Column:
+    """The number with 0 or 1 decimals, rounded half-even from its exact binary value; NULL unless finite.
+
+    Ten times the number is 8x + 2x, two exact products, so their sum and what rounding the sum lost
+    tell a true half from a number beside it. ``plus`` writes the sign of positive numbers as well.
+    """
+    if digits not in (0, 1):
+        raise ValueError("numbers are written with 0 or 1 decimals")
+
+    def lost(x: Column, scaled: Column) -> Column:
+        big, small = x * F.lit(8.0), x * F.lit(2.0)
+        return _let(scaled - big, lambda part: (big - (scaled - part)) + (small - part)) if digits else F.lit(0.0)
+
+    def whole(x: Column, scaled: Column) -> Column:
+        half = F.abs(scaled - F.floor(scaled)) == 0.5
+        beside = lambda off: F.when(half & (off > 0), F.ceil(scaled)).when(half & (off < 0), F.floor(scaled))
+        return F.coalesce(_let(lost(x, scaled), beside), F.bround(scaled, 0).cast("long"))
+
+    def text(x: Column) -> Column:
+        size = _let(x * F.lit(8.0) + x * F.lit(2.0) if digits else x, lambda scaled: F.abs(whole(x, scaled)).cast("string"))
+        if digits:
+            size = _let(F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")), lambda t: F.concat(F.left(t, F.length(t) - 1), F.lit("."), F.right(t, F.lit(1))))
+        sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("+" if plus else ""))
+        return F.when(F.abs(x) < float("inf"), F.concat(sign, size))
+
+    return _let(_col(c).cast("double"), text)
+
+
+def _interval_text(est: Column, lo: Column, hi: Column, after: str = "") -> Column:
+    end = F.lit(after)
+    return F.concat(est, end, F.lit(" ["), lo, end, F.lit(", "), hi, end, F.lit("]"))
+
+
 def format_effect(est: str | Column, lo: str | Column, hi: str | Column) -> Column:
     """``+e [+lo, +hi]``, marked when zero lies strictly inside the interval."""
-    text = F.format_string("%+.1f [%+.1f, %+.1f]", _col(est), _col(lo), _col(hi))
+    text = _interval_text(*[fixed_text(x, 1, plus=True) for x in (est, lo, hi)])
     return F.concat(text, F.when(excludes_zero(lo, hi), F.lit("")).otherwise(F.lit(" (n.s.)")))
 
 
 def format_percent_interval(est: str | Column, lo: str | Column, hi: str | Column, digits: int = 1) -> Column:
-    spec = f"%.{digits}f%%"
-    return F.format_string(
-        f"{spec} [{spec}, {spec}]", _col(est) * F.lit(100.0), _col(lo) * F.lit(100.0), _col(hi) * F.lit(100.0)
-    )
+    return _interval_text(*[fixed_text(_col(x) * F.lit(100.0), digits) for x in (est, lo, hi)], after="%")
 
 
 def format_percent(c: str | Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", _col(c) * F.lit(100.0))
+    return F.concat(fixed_text(_col(c) * F.lit(100.0), digits), F.lit("%"))
 
 
 def format_points_difference(c: str | Column) -> Column:
-    return F.format_string("%+.1f pp", _col(c))
+    return F.concat(fixed_text(c, 1, plus=True), F.lit(" pp"))
 
 
 def with_points(df: DataFrame, sd: float, columns: Sequence[str] = ("estimate", "ci_low", "ci_high")) -> DataFrame:

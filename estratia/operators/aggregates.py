@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estratia.operators.joins import checked_broadcast
+from estratia.operators.order import quantiles
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -75,13 +78,26 @@ def dominant_category(
 
 
 def share_within(
-    df: DataFrame, parent: Sequence[str], child: Sequence[str], weight: str | Column | None, into: str, keep: str | None = None
+    df: DataFrame,
+    parent: Sequence[str],
+    child: Sequence[str],
+    weight: str | Column | None,
+    into: str,
+    keep: str | None = None,
+    missing: str = "null",
 ) -> DataFrame:
     """Each child's part in percent of its parent's weight, or of its rows without a weight.
 
+    ``missing``: with ``null`` a parent with a row that lacks a weight has NULL shares; with
+    ``leave_out`` such rows count neither in the part nor in the whole, and a child of only such rows is not listed.
+
     The window runs over the aggregated rows, one per child category.
     """
+    if missing not in ("null", "leave_out"):
+        raise ValueError(f"unknown treatment of missing weights {missing!r}")
     total = strict_sum(weight) if weight is not None else F.count(F.lit(1))
+    if weight is not None and missing == "leave_out":
+        df = df.filter((F.col(weight) if isinstance(weight, str) else weight).isNotNull())
     part = keep or "_part"
     cells = df.groupBy(*parent, *child).agg(total.alias(part))
     over = Window.partitionBy(*parent)
@@ -130,20 +146,17 @@ def baseline_difference(
 
 
 def summarise_draws(df: DataFrame, by: Sequence[str], value: str, prefix: str) -> DataFrame:
-    """Mean and central 95 % bounds of draws; a group holds a fixed number of draws."""
-    return (
-        df.groupBy(*by)
-        .agg(
-            F.avg(value).alias(f"{prefix}_mean"),
-            F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("_bounds"),
-        )
-        .select(
-            *by,
-            f"{prefix}_mean",
-            F.col("_bounds")[0].alias(f"{prefix}_lower"),
-            F.col("_bounds")[1].alias(f"{prefix}_upper"),
-        )
-    )
+    """Mean and central 95 % bounds of draws, however many a group holds.
+
+    The bounds are order statistics over range partitions (``order.quantiles``), so no task holds a
+    group; the mean is a plain partial aggregate. A missing draw counts in neither.
+    """
+    bounds = quantiles(df, by, value, {f"{prefix}_lower": 0.025, f"{prefix}_upper": 0.975})
+    means = df.groupBy(*by).agg(F.avg(value).alias(f"{prefix}_mean"))
+    for c in by:
+        bounds = bounds.withColumnRenamed(c, f"_{c}")
+    joined = means.join(checked_broadcast(bounds), [means[c].eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+    return joined.select(*by, f"{prefix}_mean", f"{prefix}_lower", f"{prefix}_upper")
 
 
 def threshold_sweep(

@@ -25,17 +25,17 @@ def migrant_share(students: DataFrame, by: Sequence[str]) -> DataFrame:
     return known.groupBy(*by).agg(share.alias("pct_no_nativo"), F.count(F.lit(1)).alias("n"))
 
 
-def school_type_mix(students: DataFrame) -> DataFrame:
-    """Share of each school type in its region's weight."""
+def school_type_mix(students: DataFrame, missing: str = "null") -> DataFrame:
+    """Share of each school type in its region's weight; ``missing`` says what a missing weight does."""
     known = students.dropna(subset=["centro_especializacion"])
-    return A.share_within(known, ["year", "ccaa"], ["centro_especializacion"], "stu_wgt", "pct_alumnos")
+    return A.share_within(known, ["year", "ccaa"], ["centro_especializacion"], "stu_wgt", "pct_alumnos", missing=missing)
 
 
-def incongruent_share(students: DataFrame) -> DataFrame:
+def incongruent_share(students: DataFrame, missing: str = "null") -> DataFrame:
     """Share of incongruent students in each school type's weight."""
     known = students.dropna(subset=["centro_especializacion", "congruencia_linguistica"])
     shares = A.share_within(
-        known, ["year", "centro_especializacion"], ["congruencia_linguistica"], "stu_wgt", "pct_incongruente"
+        known, ["year", "centro_especializacion"], ["congruencia_linguistica"], "stu_wgt", "pct_incongruente", missing=missing
     )
     return shares.filter(F.col("congruencia_linguistica") == "incongruente").drop("congruencia_linguistica")
 
@@ -69,11 +69,12 @@ def profile_contrast(
     students: DataFrame,
     region_pattern: str = "Vasco|Navarra",
     school_types: Sequence[str] = ("monolingue_espanol", "monolingue_regional"),
-    student_key: Sequence[str] = ("year", "student_id"),
+    student_key: Sequence[str] = ("student_id",),
 ) -> DataFrame:
     """Mean score by region, school type and profile, and its drop against the congruent.
 
-    Students count once per edition; ``student_key=("student_id",)`` merges equal ids of editions.
+    Students are distinct ids over the pooled editions; ``student_key=("year", "student_id")`` counts an id once
+    per edition.
     """
     chosen = F.col("centro_especializacion").isin(*school_types) & F.col("congruencia_detalle").isNotNull()
     selected = students.filter(F.col("ccaa").rlike(region_pattern) & chosen)

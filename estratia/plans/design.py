@@ -200,6 +200,12 @@ def term_conditions(covariates: Sequence[str] = COVARIATES, interaction: bool =
     return terms
 
 
+def term_owners() -> dict[str, tuple[str, ...]]:
+    """The covariate, or the covariates of a product, that each term of ``term_conditions`` belongs to."""
+    single = {f"{c}{level}": (c,) for c, levels in LEVELS.items() for level in (levels if c == "domain" else levels[1:])}
+    return {t: tuple(owner for part in t.split(":") for owner in single[part]) for t in term_conditions()}
+
+
 def active_terms(terms: Mapping[str, Column]) -> Column:
     """Names of the terms that are one in a row."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in terms.items()]))

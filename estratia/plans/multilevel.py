@@ -301,6 +301,12 @@ def fit(
     return Fit(kind, sd, fits, settled.report, schools, rows, n_columns, slope, skipped, dropped, settled.present, names, strata, levels, cell_rows)
 
 
+def model_columns(f: Fit) -> list[tuple[str, str]]:
+    """(level, term) of every model column; a stratum's term is ``stratum:domain``."""
+    strata = [("stratum", f"{s}:{d}") for s in f.levels[f.strata] for d in V.DOMAINS]
+    return [*(("fixed", t) for t in f.terms), *strata, *(("region", r) for r in f.levels["ccaa"])]
+
+
 def convergence(f: Fit) -> DataFrame:
     """One row per fitted edition: rows, schools, passes and whether the mode was found."""
     rows = [

@@ -124,6 +124,33 @@ def solve_schools(shared, n_columns: int, slope: bool):
     return run
 
 
+def absorbed_product(solved: Mapping[int, tuple], n_columns: int, slope: bool):
+    """Sum over the partition's schools of their absorbed cross-products times given columns, by pairs of fixed terms."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for year, part in batch.groupby("year"):
+                if year not in solved:
+                    continue
+                columns, ratios, scale, fixed, _ = solved[year]
+                a, d, _ = dense(part, n_columns, slope, scale)
+                upper, _ = own_inverse(d, ratios)
+                m = range(len(a))
+                for e in m:
+                    for g in m:
+                        weight = upper[min(e, g), max(e, g)]
+                        add = (a[e][:, fixed] * weight[:, None]).T @ (a[g] @ columns)
+                        totals[year] = totals[year] + add if year in totals else add
+        for year, total in totals.items():
+            terms = solved[year][-1]
+            i, k = np.indices(total.shape)
+            names = np.array(terms, dtype=object)
+            yield pd.DataFrame({"year": year, "term_i": names[i.ravel()], "term_j": names[k.ravel()], "value": total.ravel()})
+
+    return run
+
+
 def draw_components(parts: Mapping[int, tuple], n_draws: int, block: int, seed: list, domains: tuple):
     """Normal draws around each edition's mode, turned into variances and covariances."""
     years, size = sorted(parts), len(domains)
