@@ -13,8 +13,9 @@ before any character gives the text back.
 
 Defined results: a null text or role is empty; a null or unknown parent makes a root; of rows that
 repeat a node id in a conversation the least (role, text) is read; nodes on a cycle have no root and
-are on no path; a null conversation or node id is dropped; a null score counts 0; turns of equal
-number are ordered by role and text.
+are on no path; a null conversation id is a conversation of its own and a null node id a node of its own in it; a
+null score counts 0; turns of equal number are ordered by role and text. Very long texts are escaped whole. An
+empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,10 +53,22 @@ def linear(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return rows.select("conv_id", "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """conv_id, node and parent as keys of which a null is equal to a null; a missing parent stays null."""
+    key = lambda c: F.struct(F.col(c).alias("v"))
+    parent = F.when(F.col("parent").isNotNull(), key("parent"))
+    return nodes.select(key("conv_id").alias("conv_id"), key("node").alias("node"), parent.alias("parent"), "role", "text", "score")
+
+
 def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """conv_id, leaf, branch_rank, branch_score, node, depth: the nodes of the ``best`` branches of each conversation."""
+    plain = [F.col(f"{c}.v").alias(c) if c in ("conv_id", "leaf", "node") else F.col(c) for c in ("conv_id", "leaf", "branch_rank", "branch_score", "node", "depth")]
+    return _paths(_keyed(nodes), best).select(*plain)
+
+
+def _paths(nodes: DataFrame, best: int | None) -> DataFrame:
     row = F.struct(whole("role").alias("role"), whole("text").alias("text"), "parent", "score")
-    rows = nodes.where("conv_id is not null and node is not null").groupBy("conv_id", "node").agg(F.min(row).alias("x"))
+    rows = nodes.groupBy("conv_id", "node").agg(F.min(row).alias("x"))
     rows = rows.select("conv_id", "node", "x.parent", F.coalesce("x.score", F.lit(0.0)).alias("score"))
     parents = rows.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
     rows = rows.join(parents, ["conv_id", "parent"], "left")
@@ -95,8 +108,9 @@ def formatted(nodes: DataFrame, best: int | None = None, trained_role: str = "as
     segments are the pieces of formatted in order with their loss flag, which only whole texts of
     ``trained_role`` carry.
     """
+    nodes = _keyed(nodes)
     texts = nodes.groupBy("conv_id", "node").agg(F.min(F.struct(whole("role").alias("role"), whole("text").alias("text"))).alias("x"))
-    rows = paths(nodes, best).join(texts, ["conv_id", "node"])
+    rows = _paths(nodes, best).join(texts, ["conv_id", "node"])
     turn = F.struct("depth", escape(F.col("x.role")).alias("role"), escape(F.col("x.text")).alias("text"), (F.col("x.role") == trained_role).alias("loss"))
     keys = ["conv_id", "leaf", "branch_rank", "branch_score"]
     made = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
@@ -108,7 +122,7 @@ def formatted(nodes: DataFrame, best: int | None = None, trained_role: str = "as
 
     made = made.withColumn("segments", F.flatten(F.transform("turns", pieces)))
     whole_text = F.array_join(F.transform("segments", lambda s: s["piece"]), "")
-    return made.select(*keys, whole_text.alias("formatted"), "segments")
+    return made.select(F.col("conv_id.v").alias("conv_id"), F.col("leaf.v").alias("leaf"), *keys[2:], whole_text.alias("formatted"), "segments")
 
 
 def read_back(conversations: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ than that from every seed have rank 0.
 
 Defined results: a url that is null or without ``://`` has an empty host and path, fits no rule, and
 its pages make one host without edges; null or empty html has no links; repeated pages count each;
-without seeds every rank is 0 and all hosts are allowed.
+without seeds every rank is 0 and all hosts are allowed; an empty table gives no rows. Very long html
+is read in full by one pattern. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estratia.llm.common import cut, whole
+from estratia.llm.common import cut, drop_cut, whole
 
 # Verdict, host and path of the rules.
 RULES = (
@@ -41,6 +42,8 @@ MASS = 10**15
 TOLERANCE = 1e-9
 ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING / 100))
 CUT_ROUNDS = 8
+#: Edges up to which a round runs in one task, against ranks that are broadcast: no shuffle a round.
+ONE_TASK_EDGES = 500_000
 MAX_RATIO = 1.0
 LINK = r"""(?i)href\s{0,9}=\s{0,9}["']?([a-z][a-z0-9+.-]{0,19}://[^"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,22 +90,34 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     out = ways.groupBy("kind", "src").agg(F.sum("weight").alias("all_"))
     share = F.col("weight").cast("double") / F.col("all_").cast("double")
     ways = cut(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", share.alias("share")))
+    # Ranks are at most one row a kind and end of an edge or seed
+    small = ways.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES and seeds.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES
+    together = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    near = F.broadcast if small else (lambda df: df)
+    ways = cut(ways.coalesce(1)) if small else ways
     sums = seeds.groupBy("kind").agg(F.sum("n").alias("s"))
     start = F.floor(F.col("n").cast("double") / F.col("s").cast("double") * MASS).cast("long")
-    seeds = cut(seeds.join(sums, "kind").select("kind", "host", start.alias("mass")))
+    seeds = cut(together(seeds.join(sums, "kind").select("kind", "host", start.alias("mass"))))
     now, own = seeds, seeds.select("kind", "host", (F.col("mass") * (100 - DAMPING)).alias("part"))
+    held = None
     for step in range(rounds):
-        sent = now.select("kind", F.col("host").alias("src"), "mass").join(ways, ["kind", "src"])
+        sent = ways.join(near(now.select("kind", F.col("host").alias("src"), "mass")), ["kind", "src"])
         amount = F.floor(F.col("mass").cast("double") * F.col("share")).cast("long") * DAMPING
         flow = sent.select("kind", F.col("dst").alias("host"), amount.alias("part"))
-        total = flow.union(own).groupBy("kind", "host").agg(F.expr("sum(part) div 100").alias("mass"))
-        now = cut(total) if step % CUT_ROUNDS == CUT_ROUNDS - 1 else total
+        now = together(flow.union(own)).groupBy("kind", "host").agg(F.expr("sum(part) div 100").alias("mass"))
+        if step % CUT_ROUNDS == CUT_ROUNDS - 1 or step == rounds - 1:
+            last, now = held, cut(now)
+            held = now
+            if last is not None:
+                drop_cut(last)
     return now
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", rounds: int = ROUNDS) -> DataFrame:
-    """``pages`` with host, path, rule, verdict, trust and distrust."""
-    df = ruled(pages, rules, url)
+    """``pages`` with host, path, rule, verdict, trust and distrust, which replace columns of these names; all others stay."""
+    packed = pages.select(F.struct(*(F.col(c).alias(f"u{i}") for i, c in enumerate(pages.columns))).alias("row_"), F.col(url).alias("url"), F.col(html).alias("html"))
+    df = ruled(packed.drop("html"), rules)
+    pages, url, html, names = packed, "url", "html", pages.columns
     seeds = df.where("rule_verdict is not null").groupBy(F.col("rule_verdict").alias("kind"), "host").agg(F.count("*").alias("n"))
     ranks = propagate(host_edges(pages, url, html), seeds, rounds)
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0))
@@ -111,4 +126,6 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", r
     zero = F.lit(0).cast("long")
     df = df.withColumn("trust", F.coalesce("trust", zero)).withColumn("distrust", F.coalesce("distrust", zero))
     method = F.when(F.col("distrust") > F.col("trust") * MAX_RATIO, "block").otherwise("allow")
-    return df.withColumn("verdict", F.coalesce("rule_verdict", method)).drop("rule_verdict")
+    made = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": F.coalesce("rule_verdict", method), "trust": F.col("trust"), "distrust": F.col("distrust")}
+    own = [F.col(f"row_.u{i}").alias(c) for i, c in enumerate(names) if c not in made]
+    return df.select(*own, *(c.alias(n) for n, c in made.items()))

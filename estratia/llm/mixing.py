@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Each source's documents stand in a seeded order and are cut into blocks of ``BLOCK`` words. The
+Each source's documents stand in a seeded order and are cut into blocks of ``BLOCK`` words, those of a
+source under 64 such blocks into smaller ones; sources of equal blocks are apportioned together. The
 blocks of the mix are awarded one by one to the source of the highest quotient target / (2k + 1)
 (k: blocks it has; ties to the earlier source); the blocks of shard s are those awarded between
 s / n and (s + 1) / n of all, so every shard has whole quotas. A source's takings are numbered in the
@@ -11,7 +12,8 @@ quota, from a seeded start, wraps, which is an even spread over the seeded order
 
 Defined results: a null text has no words; documents without words are never taken; a null source is
 a source of its own, after all others; sources are in order of code points; repeated rows are
-documents of their own, told apart by their text; empty tables give no rows. Per-source sums, one
+documents of their own, told apart by their text; a source without words has target 0; very long texts
+are cut into blocks like any other; other columns are not read; empty tables give no rows. Per-source sums, one
 row per source, are the only rows that reach the driver.
 """
 
@@ -84,25 +86,41 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(t)).cast("long").alias("size"), F.md5(t).alias("tie"))
 
 
+def fitting(size: int, block: int) -> int:
+    """The block of a source: ``block``, or a 4th, 16th ... of it as long as the source has not 64 of them."""
+    while block > 1 and size < 64 * block:
+        block = max(1, block // 4)
+    return block
+
+
 def plan(rows: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> list[dict]:
-    """One record per source: source, size, rows, weight, target, blocks, quota, ends (blocks up to each shard)."""
+    """One record per source: source, size, rows, weight, target, block, blocks, quota, ends (blocks up to each shard).
+
+    Sources of equal blocks share out the seats of their targets; each comes within a block of its target or so.
+    """
     got = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     got = sorted(got, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes, weights = [r["size"] for r in got], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(got))]
     wanted = targets(sizes, weights)
-    blocks = [-(-s // block) for s in sizes]
-    caps = [COPIES * b for b in blocks]
-    seats = round(sum(wanted) / block)
-    ends = [quotas(wanted, caps, (s + 1) * seats // shards) for s in range(shards)]
+    own = [fitting(s, block) for s in sizes]
+    blocks = [-(-s // b) for s, b in zip(sizes, own)]
+    ends = [[0] * len(got) for _ in range(shards)]
+    for each in sorted(set(own)):
+        at = [i for i, b in enumerate(own) if b == each]
+        shares, caps = [wanted[i] for i in at], [COPIES * blocks[i] for i in at]
+        seats = round(sum(shares) / each)
+        for s in range(shards):
+            for i, q in zip(at, quotas(shares, caps, (s + 1) * seats // shards)):
+                ends[s][i] = q
     return [
-        {"source": r["source"], "source_size": r["size"], "rows": r["rows"], "target": float(wanted[i]), "blocks": blocks[i], "quota": ends[-1][i] if ends else 0, "ends": [e[i] for e in ends]}
+        {"source": r["source"], "source_size": r["size"], "rows": r["rows"], "target": float(wanted[i]), "block": own[i], "blocks": blocks[i], "quota": ends[-1][i] if ends else 0, "ends": [e[i] for e in ends]}
         for i, r in enumerate(got)
     ]
 
 
-def _start(rows: DataFrame, records: list[dict], seed: int, block: int) -> DataFrame:
-    schema = "src string, source_size long, n_rows long, target double, blocks long, quota long, ends array<long>"
-    data = [(r["source"], r["source_size"], r["rows"], r["target"], r["blocks"], r["quota"], r["ends"]) for r in records]
+def _start(rows: DataFrame, records: list[dict], seed: int) -> DataFrame:
+    schema = "src string, source_size long, n_rows long, target double, block long, blocks long, quota long, ends array<long>"
+    data = [tuple(r[c] for c in ("source", "source_size", "rows", "target", "block", "blocks", "quota", "ends")) for r in records]
     table = rows.sparkSession.createDataFrame(data, schema)
     joined = rows.join(table, rows["source"].eqNullSafe(table["src"]), "left").drop("src")
     joined = joined.withColumn("draw", seeded(seed, F.col("doc_id"), F.col("tie")))
@@ -122,11 +140,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     if not records:
         empty = "doc_id long, source string, tie string, size long, source_size long, target double, taken long, pieces array<struct<block:long,begin:long,n_words:long,times:long,shards:array<long>>>"
         return rows.sparkSession.createDataFrame([], empty)
-    df = _start(rows, records, seed, block)
+    df = _start(rows, records, seed)
+    # A source without words has no block; its rows have no spots either
+    df = df.withColumn("blocks", F.greatest("blocks", F.lit(1).cast("long")))
     df = df.withColumn("full", F.floor(F.col("quota") / F.col("blocks"))).withColumn("rest", F.col("quota") % F.col("blocks"))
     df = df.withColumn("phase", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("~"))), F.col("blocks")))
-    last = F.floor((F.col("before") + F.col("size") - 1) / block)
-    spots = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("before") / block), last)).otherwise(F.array().cast("array<bigint>"))
+    last = F.floor((F.col("before") + F.col("size") - 1) / F.col("block"))
+    spots = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("before") / F.col("block")), last)).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("spots", spots)
     # Takings of the last, partial pass before block b: multiples of the quota that wrapped before it
     wrapped = "cast(floor(((b - 1) * rest + phase) / blocks) - floor((phase - rest) / blocks) as bigint)"
@@ -134,10 +154,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     nth = f"concat(transform(if(full > 0, sequence(0L, full - 1), cast(array() as array<bigint>)), k -> k * blocks + b), if({once}, array(full * blocks + {wrapped}), cast(array() as array<bigint>)))"
     piece = """transform(spots, b -> struct(
         b as block,
-        greatest(b * {n}, before) - before as begin,
-        least((b + 1) * {n}, before + size) - greatest(b * {n}, before) as n_words,
+        greatest(b * block, before) - before as begin,
+        least((b + 1) * block, before + size) - greatest(b * block, before) as n_words,
         full + if({once}, 1L, 0L) as times,
-        transform({nth}, t -> cast(size(filter(ends, e -> e <= t)) as bigint)) as shards))""".format(n=block, once=once, nth=nth)
+        transform({nth}, t -> cast(size(filter(ends, e -> e <= t)) as bigint)) as shards))""".format(once=once, nth=nth)
     df = df.withColumn("pieces", F.expr(piece))
     taken = F.expr("aggregate(pieces, 0L, (a, p) -> a + p.n_words * p.times)")
     return df.withColumn("taken", taken).select("doc_id", "source", "tie", "size", "source_size", "target", "taken", "pieces")

@@ -40,21 +40,20 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 def _repeat_words(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words inside three-word windows that the text holds twice or more.
 
-    A window is known by the 64-bit digest of its words. Where digests repeat, the position takes
-    the low bits of each, one sort brings equal windows together, and neighbours are compared.
+    A window is known by the 64-bit digest of its words. Where digests repeat, one sort of (digest,
+    place) brings equal windows together, and neighbours are compared.
     """
     none = F.array().cast("array<bigint>")
     digest = F.transform("w_", lambda x, i: F.xxhash64(x, F.get("w_", i + 1), F.get("w_", i + 2)))
     df = df.withColumn("d_", F.when(F.size("w_") >= 3, F.slice(digest, 1, F.size("w_") - 2)).otherwise(none))
     df = df.withColumn("some_", F.size(F.array_distinct("d_")) < F.size("d_"))
-    df = df.withColumn("bits_", F.ceil(F.log2(F.size("d_") + 1.0)).cast("int"))
-    packed = F.expr("transform(d_, (d, i) -> shiftleft(d, bits_) | cast(i as bigint))")
+    packed = F.expr("transform(d_, (d, i) -> struct(d, i))")
     df = df.withColumn("o_", F.when(F.col("some_"), F.sort_array(packed)))
-    twin = "shiftright(o, bits_) = shiftright(get(o_, j - 1), bits_) or shiftright(o, bits_) = shiftright(get(o_, j + 1), bits_)"
+    twin = "o.d = get(o_, j - 1).d or o.d = get(o_, j + 1).d"
     df = df.withColumn("o_", F.expr(f"filter(o_, (o, j) -> {twin})"))
-    covered = "flatten(transform(transform(o_, o -> o & (shiftleft(1L, bits_) - 1)), i -> array(i, i + 1, i + 2)))"
+    covered = "flatten(transform(o_, o -> array(o.i, o.i + 1, o.i + 2)))"
     count = F.when(F.col("some_"), F.expr(f"size(array_distinct({covered}))")).otherwise(0).cast("long")
-    return df.withColumn("n_repeat_words", count).drop("d_", "o_", "some_", "bits_")
+    return df.withColumn("n_repeat_words", count).drop("d_", "o_", "some_")
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -112,10 +111,15 @@ def distance(a: str, n: str, b: str, m: str) -> Column:
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", leave_out: tuple[str, ...] = ()) -> DataFrame:
     """``docs``, without the columns to leave out, with the base counts, char_distance, word_distance and kept.
 
+    These replace columns of the same names; all other columns stay, whatever their names.
+
     The counted rows are written once: the references are sums of them, and the few rows of the
     references then meet them again.
     """
-    df = cut(features(docs, text).drop(*leave_out))
+    names = [c for c in docs.columns if c not in leave_out]
+    packed = F.struct(F.lit(True).alias("any"), *(F.col(c).alias(f"u{i}") for i, c in enumerate(names))).alias("row_")
+    docs = docs.select(packed, F.col(text).alias("text_"), F.col(lang).alias("lang_"))
+    df, lang = cut(features(docs, "text_").drop("text_")), "lang_"
     refs = references(df, lang)
     df = df.join(refs, df[lang].eqNullSafe(refs["ref_lang"]), "left")
     for sum_, counts in (("a_", "char_hist"), ("b_", "word_hist"), ("ra_", "ref_chars"), ("rb_", "ref_words")):
@@ -126,4 +130,5 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", leave_out: tu
     near = F.coalesce(F.col("char_distance"), F.lit(0.0)) <= MAX_CHAR_DISTANCE
     alike = F.coalesce(F.col("word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE
     df = df.withColumn("kept", ~F.col("base_failed") & near & alike)
-    return df.drop("char_hist", "word_hist", "ref_lang", "ref_chars", "ref_words", "a_", "b_", "ra_", "rb_")
+    made = [*BASE, "char_distance", "word_distance", "kept"]
+    return df.select(*(F.col(f"row_.u{i}").alias(c) for i, c in enumerate(names) if c not in made), *made)

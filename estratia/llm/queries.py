@@ -86,7 +86,8 @@ FROM t GROUP BY conv_id"""
 )
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
+    said = [F.struct(F.lit(-1).alias("conv_id"), F.lit(t).alias("turn"), F.lit(r).alias("role"), F.lit(PROBE).alias("text")) for t, r in enumerate(("user", "assistant"))]
+    probe = spark.range(1).select(F.explode(F.array(*said)).alias("row")).select(*(F.col(f"row.{c}").cast(turns.schema[c].dataType).alias(c) for c in turns.columns))
     back = chat.read_back(chat.formatted(chat.linear(turns.union(probe))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

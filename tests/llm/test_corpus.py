@@ -121,9 +121,10 @@ def test_chat_round_trip_and_branches(spark):
     tree = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 1.0), (1, 3, 1, "assistant", "good", 5.0), (1, 4, 3, "user", "thanks", 1.0)]
     tree += [(1, 4, 3, "user", "thanks", 1.0), (1, 7, 8, "user", "cycle", 1.0), (1, 8, 7, "user", "cycle", 1.0), (1, 9, 77, "user", "orphan", None), (None, 1, None, "user", "x", 1.0)]
     nodes = spark.createDataFrame(tree, "conv_id long, node long, parent long, role string, text string, score double")
-    paths = chat.read_back(chat.formatted(nodes)).orderBy("branch_rank").collect()
+    paths = chat.read_back(chat.formatted(nodes)).orderBy(F.desc_nulls_last("conv_id"), "branch_rank").collect()
+    assert paths.pop()["turns"][0]["text"] == "x"  # a null conversation is one of its own
     assert [[t["text"] for t in p["turns"]] for p in paths] == [["q", "good", "thanks"], ["q", "bad"], ["orphan"]]
-    assert chat.formatted(nodes, best=1).count() == 1
+    assert chat.formatted(nodes, best=1).count() == 2
     assert chat.formatted(chat.linear(turns.limit(0))).count() == 0
 
 

@@ -1,0 +1,82 @@
+"""Cases that once failed: sources without words, small sources, null conversations, columns of helper names."""
+
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from estratia.llm import chat, hosts, leaks, mixing, quality
+
+NAMES = ["ref_chars", "t_", "a_", "char_hist", "ref_lang", "h_", "trust_", "rule_verdict", "digest_", "key_", "kept", "n_words", "pieces_", "time_", "row_", "all_columns", "text_", "size"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with a column of every helper name."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 120)) for _ in range(12)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "en", f"s{i % 2}", i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in NAMES})
+
+
+def same_columns(out, made=()):
+    rows = out.collect()
+    return all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in NAMES if c not in made and c in out.columns) and set(NAMES) <= set(out.columns)
+
+
+def test_helper_names_are_free(clashing, spark):
+    judged = quality.judge(clashing)
+    assert same_columns(judged, ("kept", "n_words")) and judged.count() == 14
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "near_duplicates", "decontamination", "mixing"):
+        out = stages[name](spark, clashing, "/root/testdata/sf0.001")
+        assert out.columns == clashing.columns and same_columns(out), name
+    shards = stages["sharding"](spark, clashing, "/root/testdata/sf0.001")
+    assert same_columns(shards) and shards.count() == 14
+    pages = spark.createDataFrame([(1, "http://a.org/x", None, "h", "t", "v"), (2, None, "<a>", "h", "t", "v")], "page_id long, url string, html string, h_ string, trust string, rule_verdict string")
+    got = hosts.judge(pages).collect()
+    assert len(got) == 2 and all((r["h_"], r["rule_verdict"]) == ("h", "v") and r["trust"] >= 0 for r in got)
+
+
+def test_small_sources_and_sources_without_words_meet_their_targets(spark):
+    words = lambda n: " ".join(f"x{i}" for i in range(n))
+    data = [(i, words(800), "a") for i in range(20)] + [(100, words(60), "b"), (101, words(40), "c"), (102, None, "d"), (103, "", "d"), (104, words(3), None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    assert (got["taken"] <= 3 * got["size"]).all() and len(got) == len(data)
+    for source, g in got.groupby("source", dropna=False):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= max(2, 0.03 * g["target"].iloc[0]), source
+    one = mixing.mix(spark.createDataFrame([(1, words(120), "a")], "doc_id long, text string, source string")).first()
+    assert one["taken"] == one["target"] == 120
+    assert mixing.mix(spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string")).first()["taken"] == 0
+
+
+def test_null_conversations_and_nodes_are_kept(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(chat.linear(turns))).collect()}
+    assert [t["text"] for t in got[None]["turns"]] == ["a", "b"] and got[None]["loss_text"] == "b" and set(got) == {None, 1}
+    nodes = spark.createDataFrame([(1, None, None, "user", "lone", 1.0), (1, 2, None, "user", "q", 1.0)], "conv_id long, node long, parent long, role string, text string, score double")
+    assert sorted(r["turns"][0]["text"] for r in chat.read_back(chat.formatted(nodes)).collect()) == ["lone", "q"]
+
+
+def test_repeated_words_of_a_very_long_text(spark):
+    words = [f"v{i}" for i in range(200_000)] + ["v7", "v8", "v9", "r", "r", "r", "r"]
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    many = {g for g, c in Counter(grams).items() if c > 1}
+    want = len({i + k for i, g in enumerate(grams) if g in many for k in range(3)})
+    df = spark.createDataFrame([(1, " ".join(words), "en")], "doc_id long, text string, lang string")
+    assert quality.judge(df).first()["n_repeat_words"] == want == 3 * 2 + 4
+
+
+def test_orthonormal_basis():
+    rng = np.random.default_rng(0)
+    a = (rng.standard_normal((2_000, 30)) * np.logspace(0, -3, 30)).astype(np.float32)
+    a[:, 29] = a[:, 0]
+    q = leaks.orthonormal(a)
+    lengths = np.linalg.eigvalsh(q.T @ q)
+    assert np.allclose(lengths[1:], 1, atol=1e-3) and abs(lengths[0]) < 1e-3
+    assert np.abs(a - q @ (q.T @ a)).max() < 1e-3
+
+
