@@ -5,12 +5,13 @@ documents, with every stage's rows written to the shared folder and read again.
 
 Texts are told apart by their digests, not by doc_id alone: different texts under a null or repeated
 doc_id are documents of their own in every stage. The near-duplicate stage keeps one row of those equal in
-doc_id and text; all other stages treat rows by themselves. Columns beyond those of documents are passed on.
+doc_id and text; all other stages treat rows by themselves. Columns beyond those of documents are passed on
+as they are, whatever their names; only ``text`` and ``n_chars`` (mixing), ``shard`` and ``slot`` (sharding) are set.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estratia.llm import leaks, mixing, near, quality, shards
@@ -23,34 +24,42 @@ __all__ = ["ORACLE_SQL", "QUERIES", "SQL", "STAGES", "run"]
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang, source beside all columns in one struct, so that no name meets those of a stage."""
+    row = F.struct(*(F.col(c).alias(f"u{i}") for i, c in enumerate(docs.columns))).alias("all_columns")
+    return docs.select(*(c for c in ("doc_id", "text", "lang", "source") if c in docs.columns), row)
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, with new ones in the place of those of their names."""
+    return df.select(*((new[c] if c in new else F.col(f"all_columns.u{i}")).alias(c) for i, c in enumerate(docs.columns)))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are near enough to their language."""
-    kept = [c for c in docs.columns if c not in (*quality.BASE, "kept", "char_distance", "word_distance")]
-    judged = quality.judge(docs.select(*kept))
-    return judged.where("kept").select(*kept)
+    return _unpacked(quality.judge(_packed(docs)).where("kept"), docs)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that of the least id, then of the least digest of its text."""
-    classes = near.near_duplicates(docs)
+    classes = near.near_duplicates(docs.select("doc_id", "text"))
     same = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("digest").eqNullSafe(F.col("class_digest"))
-    first = classes.where(same).select(F.col("doc_id").alias("first_"), F.col("digest").alias("own_"))
-    rows = docs.withColumn("digest_", F.sha2("text", 256)).dropDuplicates(["doc_id", "digest_"])
-    on = rows["doc_id"].eqNullSafe(first["first_"]) & rows["digest_"].eqNullSafe(first["own_"])
-    return rows.join(first, on, "left_semi").select(*docs.columns)
+    first = classes.where(same).select(F.col("doc_id").alias("first_id"), F.col("digest").alias("first_digest"))
+    rows = _packed(docs).withColumn("digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "digest"])
+    on = F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("digest").eqNullSafe(F.col("first_digest"))
+    return _unpacked(rows.join(first, on, "left_semi"), docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text holds no benchmark item."""
-    keyed = docs.withColumn("key_", F.xxhash64("text"))
-    hits = leaks.leaks(keyed, table(spark, sf_dir, "benchmark"), doc_id="key_").select(F.col("doc_id").alias("hit_")).distinct()
-    return keyed.join(hits, F.col("key_") == F.col("hit_"), "left_anti").select(*docs.columns)
+    keyed = _packed(docs).withColumn("key", F.xxhash64("text"))
+    hits = leaks.leaks(keyed.select("key", "text"), table(spark, sf_dir, "benchmark"), doc_id="key").select(F.col("doc_id").alias("hit")).distinct()
+    return _unpacked(keyed.join(hits, F.col("key") == F.col("hit"), "left_anti"), docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their blocks are taken, with the words of these; n_chars follows the text."""
-    out = mixing.mixed(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    return _unpacked(mixing.mixed(_packed(docs)), docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
