@@ -27,6 +27,11 @@ def clean(c: str | Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def in_set(c: str | Column, values: Sequence) -> Column:
     """Membership that is FALSE, never NULL, for a missing value."""
     return F.coalesce(_col(c).isin(*values), F.lit(False))
@@ -62,11 +67,14 @@ def matching_columns(df: DataFrame, pattern: str, expected: int | None = None) -
 
 
 def row_mean(df: DataFrame, pattern: str, expected: int | None = None) -> Column:
-    """Mean over the matching columns of a row, missing ones left out; NULL if all are missing."""
-    values = [f"nanvl(cast(`{c}` as double), null)" for c in matching_columns(df, pattern, expected)]
-    total = F.expr(" + ".join(f"coalesce({v}, 0.0D)" for v in values))
-    present = F.expr(" + ".join(f"cast({v} is not null as int)" for v in values))
-    return F.when(present > 0, total / present)
+    """Mean over the matching columns of a row, missing ones left out; NULL if all are missing.
+
+    The values are folded from an array: written out column by column, three means of ten values make a
+    generated method that the JVM no longer compiles and so interprets row by row.
+    """
+    names = matching_columns(df, pattern, expected)
+    known = F.filter(F.array(*[F.col(f"`{c}`").cast("double") for c in names]), lambda x: x.isNotNull() & ~F.isnan(x))
+    return _let(known, lambda k: F.when(F.size(k) > 0, F.aggregate(k, F.lit(0.0), lambda s, x: s + x) / F.size(k)))
 
 
 def composite_key(parts: Sequence[str | Column], sep: str = "_", defaults: Mapping[int, str] | None = None) -> Column:
@@ -153,11 +161,6 @@ def label_of(c: str | Column, labels: Mapping[str, str]) -> Column:
     return recode(c, {label: [code] for code, label in labels.items()})
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def fixed_text(c: str | Column, digits: int = 1, plus: bool = False) -> Column:
     """The number with 0 or 1 decimals, rounded half-even from its exact binary value; NULL unless finite.
 

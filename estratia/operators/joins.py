@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
 ROWS_PER_TASK = 5_000_000
+BROADCAST_BYTES = 8 << 20
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
@@ -24,11 +25,6 @@ def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def lookup(df: DataFrame, dimension: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    """Left join of a literal dimension (tens of rows)."""
-    return df.join(F.broadcast(dimension), on, "left")
-
-
 def join_unique(
     left: DataFrame,
     right: DataFrame,
@@ -65,9 +61,30 @@ def join_unique(
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Bytes that the optimised plan expects of its result, from the sizes of the files it reads."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def lookup(df: DataFrame, dimension: DataFrame, on: Sequence[str] | str) -> DataFrame:
+    """Left join of a dimension with one row per key.
+
+    Broadcast where its plan reads few bytes; else its rows are counted and beyond the broadcast size
+    both sides shuffle, with hot keys split.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    if planned_bytes(dimension) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(dimension), on, "left")
+    return join_unique(df, dimension, on)
+
+
 def unmatched_keys(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Keys of the rows that a lookup does not know, with their number of rows."""
-    return df.join(F.broadcast(dimension), key, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    """Keys of the rows that a lookup does not know, with their number of rows.
+
+    Rows are counted by key first, so the join sees each key once, however many rows hold it.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(dimension.select(key).distinct(), key, "left_anti")
 
 
 def keep_selected(df: DataFrame, selected: DataFrame, keys: Sequence[str]) -> DataFrame:

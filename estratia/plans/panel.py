@@ -142,7 +142,8 @@ def prepare(pooled: DataFrame) -> DataFrame:
     """The prepared student panel: language classes, school type, bands and strata."""
     students = with_language_classes(pooled)
     schools = materialise(school_type(school_language(students)))
-    return with_bands_and_strata(with_school_type(students, schools))
+    # The bounds of the bands are found on the students alone, before the one join with the schools
+    return with_school_type(with_bands_and_strata(students), schools)
 
 
 def to_long_panel(prep: DataFrame) -> DataFrame:

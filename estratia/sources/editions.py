@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from estratia import fixed_values as V
 from estratia.functions import columns as C
+from estratia.operators.joins import lookup
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,7 @@ def decode(df: DataFrame, column: str, labels: DataFrame, variable: str, into: s
     one = labels.filter(F.col("variable") == variable).select(
         F.col("code").alias(column), F.col("label").alias(into)
     )
-    return df.join(F.broadcast(one), column, "left")
+    return lookup(df, one, column)
 
 
 def keep_code(df: DataFrame, column: str, code) -> DataFrame:

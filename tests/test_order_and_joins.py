@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from estratia import fixed_values as V
 from estratia.operators import joins, order, reshape
-from estratia.plans import thresholds
 from estratia.operators import aggregates as A
+from estratia.plans import panel, thresholds
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +121,29 @@ def test_plans_push_filters_prune_columns_and_need_no_single_partition(spark, st
     semi = plan(joins.keep_selected(study.long, study.prep.filter("ccaa = 'Navarra'"), ["year", "student_id"]))
     assert "LeftSemi" in semi and "CartesianProduct" not in semi
     assert "PushedFilters: [IsNotNull(ccaa), EqualTo(ccaa,Navarra)" in semi
+
+
+@pytest.mark.parametrize("edition", V.EDITIONS)
+def test_generated_methods_are_small_enough_to_be_compiled(spark, study, edition):
+    """The JVM interprets methods of more than 8,000 bytes of code."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = panel.pool({edition: study.source(edition)})._jdf.queryExecution().executedPlan()
+        stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) < 8_000
+
+
+def test_preparing_joins_the_schools_once(spark, study):
+    plan = panel.prepare(study.pooled)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == 2  # bounds of the bands, schools
+
+
+def test_unmatched_keys_count_before_they_join(spark):
+    rows = spark.createDataFrame([("a",)] * 3 + [("x",)] * 2 + [(None,)], "k string")
+    known = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert {r["k"]: r["n"] for r in joins.unmatched_keys(rows, known, "k").collect()} == {"x": 2, None: 1}
+    assert sorted((r["k"] or "", r["v"] or 0) for r in joins.lookup(rows, known, "k").collect()) == [("", 0)] + [("a", 1)] * 3 + [("x", 0)] * 2
