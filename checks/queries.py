@@ -99,12 +99,12 @@ def _(s: Study):
     "s05_optional_source",
     over_raw(
         "SELECT ed::INTEGER AS year, CASE WHEN ed = 2018 OR CNTSCHID % 17 = 0 THEN NULL WHEN CNTSCHID % 2 = 0 "
-        "THEN 'publico' ELSE 'privado' END AS public_private, count(*) AS n FROM raw WHERE ed <> 2022 GROUP BY ALL"
+        "THEN 'publico' ELSE 'privado' END AS public_private, count(*) AS n FROM raw GROUP BY ALL"
     ),
 )
 def _(s: Study):
     parts = []
-    for year in (2018, 2025):
+    for year in V.EDITIONS:
         source = s.source(year)
         missing = E.read_optional(s.spark, f"{s.sf_dir}/no_such_school_file.parquet")
         schools = missing if source.schools is None else E.school_ownership(source.schools)
@@ -180,11 +180,11 @@ def _(s: Study):
 
 @query(
     "s11_read_stage",
-    over_pooled("SELECT year, ccaa, count(*) AS n, false AS has_ablation FROM pooled WHERE year = 2022 GROUP BY ALL"),
+    over_pooled("SELECT year, ccaa, count(*) AS n, false AS has_ablation FROM pooled GROUP BY ALL"),
 )
 def _(s: Study):
     ablation = read_stage(s.spark, f"{shared_folder(s.spark)}/no_such_stage", optional=True)
-    counts = A.frequency(s.pooled.filter("year = 2022"), ["year", "ccaa"])
+    counts = A.frequency(s.pooled, ["year", "ccaa"])
     return counts.withColumn("has_ablation", F.lit(ablation is not None))
 
 
@@ -218,11 +218,15 @@ def _(s: Study):
 
 @query(
     "p02_decode_labels",
-    over_raw("SELECT CNTSTUID, LANGN, home_label AS LANGN_LABEL FROM raw WHERE ed = 2025"),
+    over_raw("SELECT ed::INTEGER AS year, CNTSTUID, LANGN, home_label AS LANGN_LABEL FROM raw"),
 )
 def _(s: Study):
-    source = s.source(2025)
-    return E.decode(source.students.select("CNTSTUID", "LANGN"), "LANGN", source.labels, "LANGN", "LANGN_LABEL")
+    parts = []
+    for year in V.EDITIONS:
+        source = s.source(year)
+        students = source.students.select(F.lit(year).alias("year"), "CNTSTUID", "LANGN")
+        parts.append(E.decode(students, "LANGN", source.labels, "LANGN", "LANGN_LABEL"))
+    return E.union_editions(parts)
 
 
 @query("p03_filter_raw_code", over_raw("SELECT CNT, CNTSCHID, count(*) AS n FROM raw WHERE ed = 2025 AND CNT = 'ESP' GROUP BY ALL"))
@@ -329,27 +333,32 @@ def _(s: Study):
 @query(
     "p11_casts",
     over_raw(
-        "SELECT CNTSTUID::VARCHAR AS student_id, CNTSCHID::VARCHAR AS school_id, REGION::INTEGER AS region_code FROM raw WHERE ed = 2025"
+        "SELECT ed::INTEGER AS year, CNTSTUID::VARCHAR AS student_id, CNTSCHID::VARCHAR AS school_id, "
+        "CASE WHEN ed <> 2018 THEN REGION::INTEGER END AS region_code FROM raw"
     ),
 )
 def _(s: Study):
-    return s.source(2025).students.select(
-        F.col("CNTSTUID").cast("string").alias("student_id"),
-        F.col("CNTSCHID").cast("string").alias("school_id"),
-        E.integer_code("REGION").alias("region_code"),
-    )
+    parts = []
+    for year in V.EDITIONS:
+        students = s.source(year).students
+        region = E.integer_code("REGION") if "REGION" in students.columns else F.lit(None).cast("int")
+        casts = {"student_id": F.col("CNTSTUID").cast("string"), "school_id": F.col("CNTSCHID").cast("string"), "region_code": region}
+        parts.append(students.select(F.lit(year).alias("year"), *[c.alias(n) for n, c in casts.items()]))
+    return E.union_editions(parts)
 
 
 @query(
     "p12_composite_key",
     over_pooled(
         "SELECT year, student_id, coalesce(ccaa, 'sin_ccaa') || '_' || year || '_' || school_id AS global_school_id "
-        "FROM everyone WHERE year = 2018"
+        "FROM everyone WHERE year = 2018 UNION ALL SELECT year, student_id, ccaa || '_' || year || '_' || school_id FROM pooled WHERE year <> 2018"
     ),
 )
 def _(s: Study):
     key = C.composite_key(["ccaa", "year", "school_id"], "_", {0: V.MISSING_REGION})
-    return panel.edition_2018(s.source(2018)).select("year", "student_id", key.alias("global_school_id"))
+    columns = ("year", "student_id", "ccaa", "school_id")
+    every = panel.edition_2018(s.source(2018)).select(*columns).unionByName(s.pooled.filter("year <> 2018").select(*columns))
+    return every.select("year", "student_id", key.alias("global_school_id"))
 
 
 @query(
@@ -850,13 +859,15 @@ def _(s: Study):
     return coded.drop("region_code")
 
 
-@query("j02_school_attributes", over_pooled("SELECT student_id, public_private FROM everyone WHERE year = 2022"))
+@query("j02_school_attributes", over_pooled("SELECT year, student_id, public_private FROM everyone WHERE year <> 2018"))
 def _(s: Study):
-    source = s.source(2022)
-    students = source.students.select(
-        F.col("CNTSCHID").cast("string").alias("school_id"), F.col("CNTSTUID").cast("string").alias("student_id")
-    )
-    return joins.join_unique(students, E.school_ownership(source.schools), ["school_id"]).drop("school_id")
+    parts = []
+    for year in (2022, 2025):  # the editions with a school file
+        source = s.source(year)
+        ids = {"school_id": F.col("CNTSCHID"), "student_id": F.col("CNTSTUID")}
+        students = source.students.select(F.lit(year).alias("year"), *[c.cast("string").alias(n) for n, c in ids.items()])
+        parts.append(joins.join_unique(students, E.school_ownership(source.schools), ["school_id"]).drop("school_id"))
+    return E.union_editions(parts)
 
 
 @query(
