@@ -160,23 +160,29 @@ def op8_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SP = r"[\x20\x09-\x0D]+"
+_SENTENCE = r"[^\n.!?]*[.!?]+[\x20\x09-\x0D]*|[^\n.!?]*\n|[^\n.!?]+"
 
 
 @query(
     rf"""
 WITH l AS (SELECT doc_id, i, s, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
   SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS s FROM (
-    SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS a FROM documents WHERE text IS NOT NULL))),
+    SELECT doc_id, regexp_extract_all(text, '{_SENTENCE}') AS a FROM documents WHERE text IS NOT NULL))),
 n AS (SELECT *, trim(regexp_replace(lower(s), '{_SP}', ' ', 'g')) AS k FROM l),
-c AS (SELECT *, k <> '' AND len(string_split(k, ' ')) >= {repeats.MIN_WORDS} AS counts FROM n),
-r AS (SELECT *, counts AND row_number() OVER (PARTITION BY counts, k ORDER BY doc_id, i) > 1 AS gone FROM c),
-d AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-  string_agg(CAST(CAST(e - length(s) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (gone) AS removed,
-  string_agg(s, '' ORDER BY i) FILTER (NOT gone) AS cleaned FROM r GROUP BY doc_id)
-SELECT o.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
-  CASE WHEN o.text IS NOT NULL THEN CAST(length(coalesce(cleaned, '')) AS BIGINT) END AS cleaned_chars,
-  CASE WHEN o.text IS NOT NULL THEN sha256(coalesce(cleaned, '')) END AS cleaned_sha256
-FROM documents o LEFT JOIN d USING (doc_id)"""
+u AS (SELECT *, len(string_split(k, ' ')) AS w, row_number() OVER d AS j, lead(k) OVER d AS k2 FROM n WHERE k <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT *, k2 IS NOT NULL AND min(doc_id) OVER (PARTITION BY k, k2) < doc_id AS pair,
+  w >= {repeats.MIN_WORDS} AND min(doc_id) OVER (PARTITION BY k) < doc_id AS single FROM u),
+p AS (SELECT *, coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY j), false) AS after FROM m),
+r AS (SELECT *, sum(CASE WHEN after THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY j) AS run FROM p),
+g AS (SELECT *, single OR (count(*) OVER q > 1 AND sum(w) OVER q >= {repeats.MIN_WORDS}) AS gone FROM r WINDOW q AS (PARTITION BY doc_id, run)),
+h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM g),
+z AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY j) AS span FROM h),
+s AS (SELECT doc_id, span, CAST(min(e - length(s)) AS BIGINT) AS begin_, CAST(max(e) AS BIGINT) AS end_ FROM z WHERE gone GROUP BY ALL),
+o AS (SELECT doc_id, count(*) AS n_removed, string_agg(begin_ || ':' || end_, ',' ORDER BY begin_) AS removed, list(struct_pack(b := begin_, e := end_) ORDER BY begin_) AS a FROM s GROUP BY doc_id),
+c AS (SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN a IS NULL THEN text ELSE
+  array_to_string(list_transform(range(0, len(a) + 1), lambda x: substring(text, CASE WHEN x = 0 THEN 0 ELSE a[x].e END + 1,
+    CASE WHEN x = len(a) THEN length(text) ELSE a[x + 1].b END - CASE WHEN x = 0 THEN 0 ELSE a[x].e END)), '') END AS cleaned FROM documents d LEFT JOIN o USING (doc_id))
+SELECT doc_id, n_removed, removed, CAST(length(cleaned) AS BIGINT) AS cleaned_chars, sha256(cleaned) AS cleaned_sha256 FROM c"""
 )
 def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.clean(table(spark, sf_dir, "documents"))
