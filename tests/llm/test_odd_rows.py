@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from estratia.llm import chat, hosts, leaks, mixing, quality
 
-NAMES = ["ref_chars", "t_", "a_", "char_hist", "ref_lang", "h_", "trust_", "rule_verdict", "digest_", "key_", "kept", "n_words", "pieces_", "time_", "row_", "all_columns", "text_", "size"]
+NAMES = ["ref_chars", "t_", "a_", "char_hist", "ref_lang", "h_", "trust_", "rule_verdict", "digest_", "key_", "kept", "n_words", "pieces_", "time_", "row_", "other_columns", "text_", "size"]
 
 
 @pytest.fixture(scope="module")
