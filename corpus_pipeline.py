@@ -24,15 +24,19 @@ __all__ = ["ORACLE_SQL", "QUERIES", "SQL", "STAGES", "run"]
 ORACLE_SQL = None
 
 
+#: What the stages read; a document's other columns travel in one struct, so that no name meets a stage's own.
+READ = ("doc_id", "text", "lang", "source")
+
+
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, lang, source beside all columns in one struct, so that no name meets those of a stage."""
-    row = F.struct(*(F.col(c).alias(f"u{i}") for i, c in enumerate(docs.columns))).alias("all_columns")
-    return docs.select(*(c for c in ("doc_id", "text", "lang", "source") if c in docs.columns), row)
+    others = [F.col(c).alias(f"u{i}") for i, c in enumerate(docs.columns) if c not in READ]
+    return docs.select(*(c for c in READ if c in docs.columns), F.struct(F.lit(True).alias("any"), *others).alias("other_columns"))
 
 
 def _unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     """The columns of ``docs`` again, with new ones in the place of those of their names."""
-    return df.select(*((new[c] if c in new else F.col(f"all_columns.u{i}")).alias(c) for i, c in enumerate(docs.columns)))
+    old = {c: F.col(c) if c in READ else F.col(f"other_columns.u{i}") for i, c in enumerate(docs.columns)}
+    return df.select(*(new.get(c, old[c]).alias(c) for c in docs.columns))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
