@@ -18,7 +18,8 @@ yet are compared. No link between classes is lost, and pairs inside a class are
 Defined results: words are runs of letters and digits in lower case. A text of one to four words has
 one k-mer, all its words. A text without words (empty, blank) only matches an equal text. A null text
 matches nothing. A document is a doc_id with a text: different texts under one doc_id, or under none,
-are documents of their own, told apart by the SHA-256 of the text; rows equal in both are one.
+are documents of their own, told apart by the SHA-256 of the text; rows equal in both are one. Very long texts
+are sketched and aligned whole. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ within chunks of ``GROUP`` tokens; the weights are averaged by rows, in blocks t
 
 Defined results: tokens are runs of letters and digits in lower case and single other marks; a null
 or empty text has 0 tokens, sum 0 and no mean; places beyond the text have a word of their own;
-repeated rows are scored alike; without any token every score is empty.
+repeated rows are scored alike; without any token every score is empty. Words of equal frequency are ordered by
+themselves. Very long texts are read whole, in chunks. Other columns are not read, whatever their names. Weights
+are averages over tasks, so scores depend on how the rows are partitioned.
 """
 
 from __future__ import annotations

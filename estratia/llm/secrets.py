@@ -10,7 +10,9 @@ Spans are found without position functions: the gaps between matches and the mat
 running sum of both lengths gives every start.
 
 Defined results: a null or empty text has no spans; repeated rows get equal rows; matches of a kind
-are leftmost and do not overlap, and those of too few characters are dropped after matching.
+are leftmost and do not overlap, and those of too few characters are dropped after matching; spans of several kinds
+that begin alike stand in the order of the rules. Very long texts are searched whole. An empty table gives no rows. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Ranks are counted without one task per source or for the whole table: rows fall
 bounded size by their seeded draw (or fraction), are numbered there, and slices by running sums.
 
 Defined results: a null source is a source of its own, the last; a null text has no bytes; equal rows
-are numbered in any order, which their equality hides; an empty table gives no rows. The law is
+are numbered in any order, which their equality hides; an empty table gives no rows. Of very long texts only the
+bytes are counted. Other columns are not read, whatever their names. The law is
 ``rows``: one more shard moves rows, so grown_shard is null.
 """
 
