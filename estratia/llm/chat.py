@@ -76,17 +76,18 @@ def _paths(nodes: DataFrame, best: int | None) -> DataFrame:
     now = cut(rows.select("conv_id", "node", up.alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
     # A path is no longer than its conversation, so pointers still open after that many rounds lie on cycles
     largest = rows.groupBy("conv_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    steps, left = [], 1
-    while left and 2 ** len(steps) <= 2 * largest:
-        steps.append(now.where("up is not null").select("conv_id", "node", "up"))
-        if len(steps) == 1 and not steps[0].limit(1).count():
-            break
-        far = now.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        jumped = now.join(far, ["conv_id", "up"], "left")
+    # Only nodes whose pointer is open jump; the others are done
+    done, open_ = now.where("up is null"), now.where("up is not null")
+    steps = []
+    while 2 ** len(steps) <= 2 * largest and not open_.isEmpty():
+        steps.append(open_.select("conv_id", "node", "up"))
+        far = done.union(open_).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        jumped = open_.join(far, ["conv_id", "up"], "left")
         depth = F.col("depth") + F.coalesce("d2", F.lit(0))
         total = F.col("total") + F.coalesce("t2", F.lit(0.0))
-        now = cut(jumped.select("conv_id", "node", F.col("up2").alias("up"), depth.alias("depth"), total.alias("total")))
-        left = now.where("up is not null").limit(1).count()
+        stepped = cut(jumped.select("conv_id", "node", F.col("up2").alias("up"), depth.alias("depth"), total.alias("total")))
+        done, open_ = done.union(stepped.where("up is null")), stepped.where("up is not null")
+    now = done.union(open_)
     inner = rows.where("known").select("conv_id", F.col("parent").alias("node")).distinct()
     leaves = now.where("up is null").join(inner, ["conv_id", "node"], "left_anti")
     leaves = leaves.withColumn("branch_score", F.col("total") / F.col("depth"))
