@@ -319,19 +319,26 @@ def convergence(f: Fit) -> DataFrame:
     )
 
 
-def _interval_rows(year: int, names: Sequence[str], mean: np.ndarray, sd: np.ndarray):
+EFFECTS = "year int, term string, estimate double, ci_low double, ci_high double, converged boolean"
+
+
+def _interval_rows(year: int, e: EditionFit, names: Sequence[str], mean: np.ndarray, sd: np.ndarray):
+    found = bool(e.mode.converged)
     return [
-        (year, name, float(a), float(a - Z95 * b), float(a + Z95 * b)) for name, a, b in zip(names, mean, sd)
+        (year, name, float(a), float(a - Z95 * b), float(a + Z95 * b), found) for name, a, b in zip(names, mean, sd)
     ]
 
 
 def fixed_effects(f: Fit) -> DataFrame:
-    """Mean and 95 % bounds of every term, also in points; a row per edition and term."""
+    """Mean and 95 % bounds of every term, also in points; a row per edition and term.
+
+    ``converged`` is false where the mode was not found within the passes allowed.
+    """
     rows = []
     for y, e in f.editions.items():
         mean, cov = e.fixed
-        rows += _interval_rows(y, e.terms, mean, np.sqrt(np.diag(cov)))
-    table = f.spark.createDataFrame(rows, "year int, term string, estimate double, ci_low double, ci_high double")
+        rows += _interval_rows(y, e, e.terms, mean, np.sqrt(np.diag(cov)))
+    table = f.spark.createDataFrame(rows, EFFECTS)
     return C.with_points(table, f.score_sd)
 
 
@@ -368,8 +375,8 @@ def total_effects(f: Fit) -> DataFrame:
             combos.append(combo)
         combos = np.array(combos).reshape(-1, len(mean))
         sd = np.sqrt(np.einsum("ki,ij,kj->k", combos, cov, combos))
-        rows += _interval_rows(y, names, combos @ mean, sd)
-    table = f.spark.createDataFrame(rows, "year int, term string, estimate double, ci_low double, ci_high double")
+        rows += _interval_rows(y, e, names, combos @ mean, sd)
+    table = f.spark.createDataFrame(rows, EFFECTS)
     return C.with_points(table, f.score_sd)
 
 
@@ -404,8 +411,8 @@ def components(f: Fit) -> DataFrame:
         if e.system.n_regions:
             named["region"] = np.exp(2 * tr)
         named["residual"] = np.exp(2 * te)
-        rows += [(y, f.kind, k, float(v)) for k, v in named.items()]
-    return f.spark.createDataFrame(rows, "year int, model string, component string, variance double")
+        rows += [(y, f.kind, k, float(v), bool(e.mode.converged)) for k, v in named.items()]
+    return f.spark.createDataFrame(rows, "year int, model string, component string, variance double, converged boolean")
 
 
 def school_effects(f: Fit) -> DataFrame:
