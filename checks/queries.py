@@ -1421,6 +1421,23 @@ def _(s: Study):
     return design.term_selection(design.edition_report(s.long))
 
 
+def _settled_terms_sql(kind: str) -> str:
+    held = {c: "true" if c in design.ALWAYS else f"NOT list_contains(string_split(one_level, ', '), '{c}')" for c in design.COVARIATES}
+    both = " AND ".join(f"({held[c]})" for c in design.INTERACTION)
+    terms = {**held, ":".join(design.INTERACTION): both, "region": "has_region"}
+    lines = " UNION ALL ".join(f"SELECT kind, year, '{t}' AS term, {cond} AS included FROM k WHERE NOT skipped" for t, cond in terms.items())
+    return f"SELECT * FROM (WITH k AS ({_settled_sql(kind)}) {lines})"
+
+
+@query("m02b_settled_terms", over_long(" UNION ALL ".join(_settled_terms_sql(kind) for kind in SETTLED_KINDS)))
+def _(s: Study):
+    out = None
+    for kind, (strata, needed, drop) in SETTLED_KINDS.items():
+        terms = design.settled_terms(design.settle(s.long, strata, needed, drop)).withColumn("kind", F.lit(kind))
+        out = terms if out is None else out.unionByName(terms)
+    return out.select("kind", "year", "term", "included")
+
+
 @query(
     "m03_treatment_coding",
     over_effects(

@@ -183,6 +183,15 @@ def term_selection(report: DataFrame) -> DataFrame:
     return wide.unpivot(["year"], list(flags), "term", "included")
 
 
+def settled_terms(settled: Settled) -> DataFrame:
+    """year, term, included: what enters the model of each edition once its rows are settled."""
+    gone = F.split("one_level", ", ")
+    enough = {c: F.lit(True) if c in ALWAYS else ~F.array_contains(gone, c) for c in COVARIATES}
+    flags = {**enough, ":".join(INTERACTION): enough[INTERACTION[0]] & enough[INTERACTION[1]], "region": F.col("has_region")}
+    wide = settled.report.filter("not skipped").select("year", *[flag.alias(name) for name, flag in flags.items()])
+    return wide.unpivot(["year"], list(flags), "term", "included")
+
+
 def term_conditions(covariates: Sequence[str] = COVARIATES, interaction: bool = True) -> dict[str, Column]:
     """Every model term, in order, with the condition under which its dummy is one.
 
