@@ -10,10 +10,12 @@ rises in both texts. Its similarity is chain / (n + m - chain), at least ``SIMIL
 leaves at most (n + m) / 9 k-mers unmatched, so the band of that width about the diagonal loses nothing.
 
 Equal texts meet first and go on as one. In a bucket of up to ``ALL_PAIRS`` texts each meets each. In
-a larger one all meet one leader, and the rest is exact by another index: the k-mers of the texts in
-large buckets are ordered by how many of these texts have them, and a similar pair must share one of
-the rarest ninth of the shorter text's k-mers. Texts that share such a k-mer and are not of one class
-yet are compared. No link between classes is lost, and pairs inside a class are not listed.
+a larger one all meet one lead; those that are linked to it are of its class whatever links they have with
+each other, the others go on with a lead of their own, for ``ROUNDS`` rounds. The rest is exact by what sets
+a text apart from its lead, the k-mers that only one of the two has: similar texts of which one is not linked to the
+lead share some of these, so they meet by the rarest of them (``differences``). Texts that hold the lead's
+k-mers in another order have no such differences; they meet the members of their buckets. No link
+between classes is lost, and pairs inside a class are not listed.
 
 Defined results: words are runs of letters and digits in lower case. A text of one to four words has
 one k-mer, all its words. A text without words (empty, blank) only matches an equal text. A null text
@@ -30,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estratia.llm.common import cut, ship
+from estratia.llm.common import cut, drop_cut, ship
 
 ship(__name__)
 
@@ -42,6 +44,8 @@ SIMILARITY = 0.8  # the conditions below write it as 4/5, its largest unmatched
 SKETCHES = 12
 PICKS = 2
 ALL_PAIRS = 16
+ROUNDS = 2  # leads of a bucket, one after another
+PER_TASK = 1_000  # texts of one lead that a task aligns with it
 WORD = re.compile(r"[^\W_]+")
 
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -157,18 +161,49 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(grams)], names=["id", "n", "gram"])
 
 
-def rarest(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, n, shared, gram, rank: each member's k-mers from the least to the most frequent among the members.
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How each text stands to its lead: linked, and the k-mers that only one of the two has."""
+    for batch in batches:
+        last, head, linked, apart = None, None, [], []
+        leads = batch["lead"].to_pylist()
+        for lead, theirs, own in zip(leads, batch["lead_words"], batch["words"]):
+            if lead != last:
+                last, head = lead, kmers(theirs.values.to_numpy().view(np.uint32))
+            grams = kmers(own.values.to_numpy().view(np.uint32))
+            linked.append(similarity(grams, head) >= SIMILARITY)
+            apart.append(np.setxor1d(grams, head, assume_unique=True).view(np.int64))
+        kept = batch.select(["lead", "id", "n", "ln"]).to_pydict()
+        types = [pa.int64()] * 4
+        columns = [pa.array(v, t) for v, t in zip(kept.values(), types)]
+        d = pa.array(map(len, apart), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*columns, d, pa.array(linked, pa.bool_()), pa.array(apart, pa.list_(pa.int64()))],
+            names=["lead", "id", "n", "ln", "d", "linked", "apart"],
+        )
+
 
-    shared is how many of the member's k-mers some other member has too.
+def held_together(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, n, shared: the members of whose k-mers four fifths are in other members too, and how many are.
+
+    A chain holds shared k-mers only, so that the other members are near to none.
     """
     grams = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "words")
     grams = cut(grams.mapInArrow(_spread, "id long, n long, gram long"))
-    counted = grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram")
-    whole = Window.partitionBy("id")
-    counted = counted.withColumn("shared", F.sum(F.when(F.col("df") > 1, 1).otherwise(0)).over(whole))
-    ranked = counted.withColumn("rank", F.row_number().over(whole.orderBy("df", "gram")))
-    return ranked.where("df > 1").select("id", "n", "shared", "gram", "rank")
+    many = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
+    shared = cut(grams.join(many, "gram", "left_semi").groupBy("id", "n").agg(F.count("*").alias("shared")).where("shared * 5 >= n * 4"))
+    drop_cut(grams)
+    return shared
+
+
+def stands(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """lead, id, n, ln, d, linked, apart for each pair (lead, id); a lead of many texts is dealt over several tasks."""
+    parts = stars.groupBy("lead").agg(F.floor(F.count("*") / PER_TASK).alias("parts"))
+    own = stars.join(parts, "lead").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts") + 1)).drop("parts")
+    heads = parts.join(texts.select(F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("words").alias("lead_words")), "lead")
+    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts"))).drop("parts")
+    met = own.join(texts.select("id", "n", "words"), "id").join(heads, ["lead", "part"])
+    slim = met.select("lead", "id", "n", "ln", "words", "lead_words")
+    return slim.mapInArrow(_apart, "lead long, id long, n long, ln long, d long, linked boolean, apart array<long>")
 
 
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -210,6 +245,43 @@ def _with_classes(members: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("cls", F.coalesce("cls", "id"))
 
 
+def _fits(n: str, m: str) -> Column:
+    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
+
+
+def differences(stood: DataFrame) -> DataFrame:
+    """lead, gram, id, n, d, linked, p, at: the k-mers by which a text can meet similar texts of its lead.
+
+    Similar texts of n and m k-mers differ in at most (n + m) / 9 of them, and the k-mers that only one
+    of them has are those in which their differences d and e from the lead differ. So the differences
+    share at least (d + e - (n + m) / 9) / 2 k-mers, at least one if a text is farther from the lead than a
+    similar one. Differences are ordered by how many texts of the lead have a k-mer in theirs, rarest
+    first; ``at`` is the place among the p that some other text has in its differences, too.
+    """
+    flat = stood.where(~F.col("turned") & F.col("apart").isNotNull()).select("lead", "id", "n", "ln", "d", "linked", F.explode("apart").alias("gram"))
+    often = stood.select("lead", F.explode("apart").alias("gram")).groupBy("lead", "gram").agg(F.count("*").alias("df")).where("df > 1")
+    each = Window.partitionBy("lead", "id")
+    flat = flat.join(often, ["lead", "gram"]).withColumn("p", F.count("*").over(each))
+    # K-mers in no other difference are differences from every text
+    flat = flat.where((F.col("d") - F.col("p")) * 4 <= F.col("n")).withColumn("at", F.row_number().over(each.orderBy("df", "gram")))
+    # The fewest that a similar pair shares: a linked text is paired with one farther from the lead only
+    fewest = F.when(F.col("linked"), F.ceil((F.col("d") * 9 + F.col("ln") - F.col("n")) / 18)).otherwise(F.ceil(F.col("d") - F.col("n") / 4))
+    reach = F.col("at") <= F.col("p") - F.greatest(fewest, F.lit(1)) + 1
+    return flat.where(reach).select("lead", "gram", "id", "n", "d", "linked", "p", "at")
+
+
+def _meet(far: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a difference, if enough of both can still follow it and not too many stand before."""
+    other = other.select("lead", "gram", *(F.col(c).alias(f"o_{c}") for c in other.columns if c not in ("lead", "gram")))
+    least = F.greatest(F.ceil(((F.col("d") + F.col("o_d")) * 9 - F.col("n") - F.col("o_n")) / 18), F.lit(1))
+    follow = F.least(F.col("p") - F.col("at"), F.col("o_p") - F.col("o_at")) + 1 >= least
+    before = F.col("at") + F.col("o_at") - 2 <= F.col("p") + F.col("o_p") - least * 2
+    new = F.col("cls") != F.col("o_cls") if "cls" in far.columns else F.col("id") != F.col("o_id")
+    once = F.col("o_linked") | (F.col("id") < F.col("o_id")) if "o_linked" in other.columns else F.lit(True)
+    met = far.join(other, ["lead", "gram"]).where(_fits("n", "o_n") & new & once & follow & before)
+    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
+
+
 def near_links(texts: DataFrame) -> DataFrame:
     """Verified pairs (a, b), a < b, whose classes are those of all similar pairs that share a sketch.
 
@@ -219,37 +291,52 @@ def near_links(texts: DataFrame) -> DataFrame:
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("s")).where("s > 1")
     rows = cut(rows.join(sizes, "bucket"))
     other = lambda df: df.select("bucket", F.col("id").alias("o"), F.col("n").alias("on"))
-    fits = (F.least("n", "on") * 5 >= F.greatest("n", "on") * 4) & (F.col("id") != F.col("o"))
-    pair = [F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")]
-
     few = rows.where(F.col("s") <= ALL_PAIRS)
-    pairs = few.join(other(few), "bucket").where(fits & (F.col("id") < F.col("o"))).select(*pair)
-    many = rows.where(F.col("s") > ALL_PAIRS)
-    # A chain holds shared k-mers only: texts with too many of their own are near to none
-    ranks = cut(rarest(many, texts).where(F.col("shared") * 5 >= F.col("n") * 4))
-    # The member of the most and largest buckets leads: of copies of one text that is near the original
+    pairs = few.join(other(few), "bucket").where(_fits("n", "on") & (F.col("id") < F.col("o")))
+    pairs = pairs.select(F.col("id").alias("a"), F.col("o").alias("b"))
+
+    many = rows.where(F.col("s") > ALL_PAIRS).select("bucket", "id")
     fame = rows.groupBy("id").agg(F.sum("s").alias("fame"))
-    many = many.join(ranks.select("id", "shared").distinct(), "id").join(fame, "id")
-    head = F.struct("id", "n", "shared")
-    lead = many.groupBy("bucket").agg(F.max_by(head, F.struct("fame", -F.col("id"))).alias("l"))
-    lead = lead.select("bucket", F.col("l.id").alias("o"), F.col("l.n").alias("on"), F.col("l.shared").alias("os"))
-    reach = F.least("shared", "os") * 9 >= (F.col("n") + F.col("on")) * 4
-    star = many.join(lead, "bucket").where(fits & reach).select(*pair)
-    found = cut(links(pairs.union(star).distinct(), texts))
-
-    # Of a similar pair, the rarest common k-mer is among the rarest ninth of the shorter text's
-    # and the rarest fifth of the longer's; only texts not yet of one class meet by it
-    keys = ranks.where(F.col("rank") <= F.floor(F.col("n") / 5) + 1)
-    keys = cut(_with_classes(keys, found))
-    share = keys.groupBy("gram", "cls").agg(F.count("*").alias("c"))
-    main = share.groupBy("gram").agg(F.max_by("cls", F.struct("c", "cls")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    keys = keys.join(main.drop("k"), "gram")
-    rest = keys.where("cls <> main")
-    rest = rest.select("gram", F.col("id").alias("o"), F.col("n").alias("on"), F.col("shared").alias("os"), F.col("rank").alias("or"), F.col("cls").alias("oc"))
-    short = lambda rank, n: F.col(rank) <= F.floor(F.col(n) / 9) + 1
-    ordered = (short("rank", "n") & (F.col("n") <= F.col("on"))) | (short("or", "on") & (F.col("on") <= F.col("n")))
-    met = keys.join(rest, "gram").where(fits & reach & ordered & (F.col("cls") != F.col("oc")))
-    return found.union(cut(links(met.select(*pair).distinct(), texts)))
+    many = cut(many.join(held_together(many, texts), "id").join(fame, "id").select("bucket", "id", "fame"))
+    stars, met, kept = links(pairs.distinct(), texts), None, []
+    for turn in range(ROUNDS):
+        last = turn == ROUNDS - 1
+        # The member of the most and largest buckets leads: of copies of one text that is near the original
+        lead = many.groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("lead"))
+        members = cut(many.join(lead, "bucket").where("id <> lead"))
+        stood = stands(members.select("lead", "id").distinct(), texts)
+        stood = stood.withColumn("turned", ~F.col("linked") & (F.col("d") * 9 <= F.col("n") + F.col("ln")))
+        # Farther than two links from the lead no text is similar to a linked one
+        if not last:
+            stood = stood.withColumn("apart", F.when(F.col("d") * 36 <= F.col("n") * 14 + F.col("ln") * 4, F.col("apart")))
+        stood = cut(stood)
+        stars = stars.union(stood.where("linked").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
+        placed = members.join(stood.select("lead", "id", "n", "d", "linked", "turned"), ["lead", "id"])
+        # Texts with the lead's k-mers in another order meet those of their buckets with about as many differences
+        beside = placed.select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "d")))
+        close = F.abs(F.col("d") - F.col("o_d")) * 9 <= F.col("n") + F.col("o_n")
+        turned = placed.where("turned").join(beside, "bucket").where(_fits("n", "o_n") & (F.col("id") != F.col("o_id")) & close)
+        turned = turned.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
+        met = turned if met is None else met.union(turned)
+        flat = cut(differences(stood))
+        kept.append(flat)
+        many = cut(placed.where(~F.col("linked") & ~F.col("turned")).select("bucket", "id", "fame"))
+        if many.isEmpty():
+            break
+    # Texts that no lead is near to first meet the one of fewest k-mers of its own among those of a difference
+    for flat in kept:
+        fewest = F.struct(F.col("p") - F.col("d"), -F.col("id"))
+        head = flat.groupBy("lead", "gram").agg(F.max_by(F.struct("id", "n", "d", "p", "at"), fewest).alias("h"))
+        stars = stars.union(links(_meet(flat.where(~F.col("linked")).drop("linked"), head.select("lead", "gram", "h.*")).distinct(), texts))
+    found = cut(stars)
+    # Pairs inside a class need no link
+    known = cut(classes(found))
+    for i, flat in enumerate(kept):
+        flat = flat.join(known, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
+        # What is linked to no lead meets its like in the last round
+        other = flat if i == len(kept) - 1 else flat.where("linked")
+        met = met.union(_meet(flat.where(~F.col("linked")).drop("linked"), other))
+    return found.union(cut(links(met.distinct(), texts)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -54,17 +54,7 @@ def test_near_duplicates_equal_brute_force(odd, empty):
     assert near.near_duplicates(empty).count() == 0
 
 
-def test_large_group_of_near_copies_keeps_its_links(spark):
-    """Copies of one text with up to two edits, copies of copies, and texts that share a passage only."""
-    rng = np.random.default_rng(1)
-    base = [f"v{i}" for i in range(100)]
-    texts = [" ".join(base)]
-    for k in range(80):
-        words = list(base)
-        for at in rng.integers(0, 100, 1 + k % 4):
-            words[at] = f"e{k}_{at}"
-        texts.append(" ".join(words))
-    texts += [" ".join([*base[:60], *(f"p{k}_{i}" for i in range(60))]) for k in range(40)]
+def classes_by_brute_force(texts):
     grams = [near.kmers(near._digests(t, {})) for t in texts]
     parent = list(range(len(texts)))
 
@@ -78,8 +68,44 @@ def test_large_group_of_near_copies_keeps_its_links(spark):
             if near.similarity(grams[a], grams[b]) >= near.SIMILARITY:
                 x, y = sorted((top(a), top(b)))
                 parent[y] = x
+    return {i: top(i) for i in range(len(texts))}
+
+
+def edited(words, rng, most, tag):
+    words = list(words)
+    for at in rng.integers(0, len(words), rng.integers(1, most + 1)):
+        words[at] = f"e{tag}_{at}"
+    return words
+
+
+def near_classes(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    assert {r["doc_id"]: r["class_id"] for r in near.near_duplicates(df).collect()} == {i: top(i) for i in range(len(texts))}
+    return {r["doc_id"]: r["class_id"] for r in near.near_duplicates(df).collect()}
+
+
+def test_large_group_of_near_copies_keeps_its_links(spark):
+    """Copies of one text with up to two edits, copies of copies, and texts that share a passage only."""
+    rng = np.random.default_rng(1)
+    base = [f"v{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    texts += [" ".join(edited(base, rng, 4, k)) for k in range(80)]
+    texts += [" ".join([*base[:60], *(f"p{k}_{i}" for i in range(60))]) for k in range(40)]
+    assert near_classes(spark, texts) == classes_by_brute_force(texts)
+
+
+def test_groups_without_their_first_text_keep_their_links(spark):
+    """Copies of a text that is not there, copies of copies, copies with moved parts, groups that share a passage."""
+    rng = np.random.default_rng(5)
+    base = [f"v{i}" for i in range(150)]
+    texts = [edited(base, rng, 5, f"a{k}") for k in range(60)]
+    texts += [edited(texts[k % 20], rng, 3, f"b{k}") for k in range(40)]
+    for k in range(40):
+        at, to = sorted(rng.integers(0, 150, 2))
+        texts.append(edited([*base[:at], *base[to:], *base[at:to]], rng, 2, f"c{k}"))
+    other = [*base[:70], *(f"q{i}" for i in range(80))]
+    texts += [edited(other, rng, 4, f"d{k}") for k in range(40)]
+    texts = [" ".join(t) for t in texts]
+    assert near_classes(spark, texts) == classes_by_brute_force(texts)
 
 
 def test_chain_is_the_longest_rising_chain():
