@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estratia.llm.common import cut, drop_cut, ship
+from estratia.llm.common import Cuts, cut, drop_cut, ship
 
 ship(__name__)
 
@@ -207,8 +207,11 @@ def stands(stars: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose alignment reaches the similarity."""
-    wa = texts.select(F.col("id").alias("a"), F.col("words").alias("wa"))
+    """Of the pairs (a, b), which are a written table, those whose alignment reaches the similarity.
+
+    Texts without a pair are left out on either side, before their words move where the pairs are few.
+    """
+    wa = texts.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("words").alias("wa"))
     wb = texts.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     return pairs.join(wb, "b").join(wa, "a").select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long")
 
@@ -220,7 +223,7 @@ def classes(edges: DataFrame) -> DataFrame:
     neighbours to that vertex, so that chains shorten by a factor each round.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = cut(both.where("a <> b").distinct())
+    now = last = cut(both.where("a <> b").distinct())
     while True:
         least = now.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         near = now.join(least, "a")
@@ -230,6 +233,8 @@ def classes(edges: DataFrame) -> DataFrame:
         low = moved.groupBy("x").agg(F.min("y").alias("m"))
         back = moved.join(low, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         kept = cut(back.union(low.select("x", F.col("m").alias("y"))).where("x > y").distinct())
+        drop_cut(last)
+        last = kept
         # Stars only: no head of an edge is the tail of another
         open_ = kept.select(F.col("x").alias("y")).join(kept.select("y").distinct(), "y", "left_semi").limit(1).count()
         split = kept.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
@@ -287,9 +292,10 @@ def near_links(texts: DataFrame) -> DataFrame:
 
     ``texts`` has id, n (k-mers), sketch and words.
     """
+    held = Cuts()
     rows = texts.select("id", "n", F.posexplode("sketch").alias("k", "v")).withColumn("bucket", F.xxhash64("k", "v")).drop("k", "v")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("s")).where("s > 1")
-    rows = cut(rows.join(sizes, "bucket"))
+    rows = held(rows.join(sizes, "bucket"))
     other = lambda df: df.select("bucket", F.col("id").alias("o"), F.col("n").alias("on"))
     few = rows.where(F.col("s") <= ALL_PAIRS)
     pairs = few.join(other(few), "bucket").where(_fits("n", "on") & (F.col("id") < F.col("o")))
@@ -297,19 +303,19 @@ def near_links(texts: DataFrame) -> DataFrame:
 
     many = rows.where(F.col("s") > ALL_PAIRS).select("bucket", "id")
     fame = rows.groupBy("id").agg(F.sum("s").alias("fame"))
-    many = cut(many.join(held_together(many, texts), "id").join(fame, "id").select("bucket", "id", "fame"))
-    stars, met, kept = links(pairs.distinct(), texts), None, []
+    many = held(many.join(held_together(many, texts), "id").join(fame, "id").select("bucket", "id", "fame"))
+    stars, met, kept = links(held(pairs.distinct()), texts), None, []
     for turn in range(ROUNDS):
         last = turn == ROUNDS - 1
         # The member of the most and largest buckets leads: of copies of one text that is near the original
         lead = many.groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("lead"))
-        members = cut(many.join(lead, "bucket").where("id <> lead"))
+        members = held(many.join(lead, "bucket").where("id <> lead"))
         stood = stands(members.select("lead", "id").distinct(), texts)
         stood = stood.withColumn("turned", ~F.col("linked") & (F.col("d") * 9 <= F.col("n") + F.col("ln")))
         # Farther than two links from the lead no text is similar to a linked one
         if not last:
             stood = stood.withColumn("apart", F.when(F.col("d") * 36 <= F.col("n") * 14 + F.col("ln") * 4, F.col("apart")))
-        stood = cut(stood)
+        stood = held(stood)
         stars = stars.union(stood.where("linked").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
         placed = members.join(stood.select("lead", "id", "n", "d", "linked", "turned"), ["lead", "id"])
         # Texts with the lead's k-mers in another order meet those of their buckets with about as many differences
@@ -318,25 +324,27 @@ def near_links(texts: DataFrame) -> DataFrame:
         turned = placed.where("turned").join(beside, "bucket").where(_fits("n", "o_n") & (F.col("id") != F.col("o_id")) & close)
         turned = turned.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
         met = turned if met is None else met.union(turned)
-        flat = cut(differences(stood))
+        flat = held(differences(stood))
         kept.append(flat)
-        many = cut(placed.where(~F.col("linked") & ~F.col("turned")).select("bucket", "id", "fame"))
+        many = held(placed.where(~F.col("linked") & ~F.col("turned")).select("bucket", "id", "fame"))
         if many.isEmpty():
             break
     # Texts that no lead is near to first meet the one of fewest k-mers of its own among those of a difference
     for flat in kept:
         fewest = F.struct(F.col("p") - F.col("d"), -F.col("id"))
         head = flat.groupBy("lead", "gram").agg(F.max_by(F.struct("id", "n", "d", "p", "at"), fewest).alias("h"))
-        stars = stars.union(links(_meet(flat.where(~F.col("linked")).drop("linked"), head.select("lead", "gram", "h.*")).distinct(), texts))
-    found = cut(stars)
+        stars = stars.union(links(held(_meet(flat.where(~F.col("linked")).drop("linked"), head.select("lead", "gram", "h.*")).distinct()), texts))
+    found = held(stars)
     # Pairs inside a class need no link
-    known = cut(classes(found))
+    known = held(classes(found))
     for i, flat in enumerate(kept):
         flat = flat.join(known, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
         # What is linked to no lead meets its like in the last round
         other = flat if i == len(kept) - 1 else flat.where("linked")
         met = met.union(_meet(flat.where(~F.col("linked")).drop("linked"), other))
-    return found.union(cut(links(met.distinct(), texts)))
+    every = cut(found.union(links(held(met.distinct()), texts)).distinct())
+    held.drop()
+    return every
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -348,21 +356,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     that of the class's first text; where ids are null or repeat, class_id and class_digest together name the class.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.sha2("text", 256))
-    ids = cut(rows.select("doc_id", "digest").distinct())
+    held = Cuts()
+    ids = held(rows.select("doc_id", "digest").distinct())
     copies = ids.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_id"))
     # Numbers of the texts in this order, so that the least of a class is its first text
-    own = cut(copies.orderBy(F.col("copy_id").asc_nulls_last(), "digest").withColumn("id", F.monotonically_increasing_id()))
-    alone = own.select(F.col("copy_id").alias("c_"), F.col("digest").alias("own"), "id")
-    one = rows.join(alone, F.col("doc_id").eqNullSafe(F.col("c_")) & (F.col("digest") == F.col("own")))
-    one = one.select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    texts = cut(one.mapInArrow(_sketch_batches, "id long, n long, sketch array<long>, words array<int>"))
-    found = cut(near_links(texts).distinct())
+    own = held(copies.orderBy(F.col("copy_id").asc_nulls_last(), "digest").withColumn("id", F.monotonically_increasing_id()))
+    # Texts move once, by the digest that both sides of the join are dealt by
+    one = rows.where("digest is not null").select("digest", "text").dropDuplicates(["digest"])
+    one = one.join(own.select("digest", "id"), "digest").select(F.col("id").alias("doc_id"), "text")
+    texts = held(one.mapInArrow(_sketch_batches, "id long, n long, sketch array<long>, words array<int>"))
+    found = near_links(texts)
+    held.made.append(found)
     ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id")))
     degree = ends.groupBy("id").agg(F.count("*").alias("n_links"))
     each = _with_classes(own.withColumn("cls", F.col("id")), found).join(degree, "id", "left")
     heads = own.select(F.col("id").alias("cls"), F.col("copy_id").alias("class_id"), F.col("digest").alias("class_digest"))
     each = each.join(heads, "cls").select(F.col("digest").alias("own"), "copy_id", "cls", "class_id", "class_digest", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    joined = cut(ids.join(each, F.col("digest") == F.col("own"), "left"))
+    joined = cut(ids.join(each, F.col("digest") == F.col("own"), "left").drop("own"))
+    held.drop()
     sizes = joined.where("cls is not null").groupBy("cls").agg(F.count("*").alias("n_class"))
     out = joined.join(sizes, "cls", "left")
     # A null text has no class but its own

@@ -114,13 +114,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", leave_out: tu
     These replace columns of the same names; all other columns stay, whatever their names.
 
     The counted rows are written once: the references are sums of them, and the few rows of the
-    references then meet them again.
+    references then meet them again. These are written too, so that Spark knows their size before the
+    join and the texts stay where they are.
     """
     names = [c for c in docs.columns if c not in leave_out]
     packed = F.struct(F.lit(True).alias("any"), *(F.col(c).alias(f"u{i}") for i, c in enumerate(names))).alias("row_")
     docs = docs.select(packed, F.col(text).alias("text_"), F.col(lang).alias("lang_"))
     df, lang = cut(features(docs, "text_").drop("text_")), "lang_"
-    refs = references(df, lang)
+    refs = cut(references(df, lang))
     df = df.join(refs, df[lang].eqNullSafe(refs["ref_lang"]), "left")
     for sum_, counts in (("a_", "char_hist"), ("b_", "word_hist"), ("ra_", "ref_chars"), ("rb_", "ref_words")):
         df = df.withColumn(sum_, _sum(counts))
