@@ -2,7 +2,7 @@
 
 import os
 
-from estratia.llm import near, quality
+from estratia.llm import chat, near, quality
 from estratia.sources.workspace import shared_folder
 
 
@@ -29,3 +29,10 @@ def test_near_duplicates_leave_no_words_behind(spark):
     left = tables(spark) - before
     assert {r["class_id"] for r in classes.collect()} == set(range(30))
     assert not any({"words", "sketch", "apart", "gram"} & set(spark.read.parquet(t).columns) for t in left)
+
+
+def test_reply_tree_plans_do_not_grow_with_the_turns(spark):
+    said = lambda n: chat.linear(spark.range(n).selectExpr("1L conv_id", "id turn", "'user' role", "cast(id as string) text"))
+    few, many = chat.formatted(said(4)), chat.formatted(said(300))
+    assert plan(many).count("Join") <= plan(few).count("Join")
+    assert [len(r["segments"]) for r in many.collect()] == [900]
