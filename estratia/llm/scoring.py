@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +51,12 @@ RATE = 0.08
 BATCH = 512
 BLOCK = 1 << 16
 GROUP = 1 << 16
+#: Positions scored at a time. Exponentials beyond these bounds go by the largest of their row.
+SCORED, SAFE, TINY = 1 << 10, 80.0, 1e-30
+#: Texts split at a time; words a task counts before it sums them up.
+TEXTS, MOST_WORDS = 512, 1_000_000
+#: Rows of one group of words in a batch that are laid side by side with those of all groups; the rest follows.
+SIDE = 8
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -59,12 +64,79 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Kinds of bytes: between tokens, in a word, a mark (a token of its own), the rest of a mark of several bytes.
+GAP, LETTER, MARK, REST = range(4)
+_ASCII = np.array([LETTER if chr(i).isalnum() else GAP if chr(i).isspace() else MARK for i in range(128)], np.uint8)
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of a text in UTF-8."""
+    kinds = _ASCII[np.minimum(data, 127)]
+    wide = np.flatnonzero(data >= 0xC0)
+    if len(wide):
+        lead = data[wide].astype(np.int32)
+        n = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+        code = lead & (0xFF >> (n + 1))
+        for k in range(1, 4):
+            more = np.flatnonzero(n > k)
+            code[more] = code[more] << 6 | data[wide[more] + k] & 0x3F
+        each, at = np.unique(code, return_inverse=True)
+        of = np.array([_kind(chr(c)) for c in each], np.uint8)[at]
+        kinds[wide] = of
+        for k in range(1, 4):
+            more = np.flatnonzero(n > k)
+            kinds[wide[more] + k] = np.where(of[more] == MARK, REST, of[more])
+    return kinds
+
+
+def _kind(c: str) -> int:
+    return LETTER if c.isalnum() else GAP if c.isspace() else MARK
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens, the place among them of each token of all texts in order, and the tokens of each text.
+
+    The tokens are those of ``tokens``, found in the bytes of all texts at once.
+    """
+    low = [(text or "").lower().encode() for text in texts.to_pylist()]
+    data = np.frombuffer(b"\n".join(low), np.uint8)
+    kinds = _kinds(data)
+    begins = kinds == LETTER
+    begins[1:] &= kinds[:-1] != LETTER
+    begins |= kinds == MARK
+    first = np.flatnonzero(begins)
+    held = kinds != GAP
+    ends = np.cumsum(held, dtype=np.int32)
+    offsets = np.append(ends[first] - 1, ends[-1:]).astype(np.int32)
+    if not len(first):
+        return pa.array([], pa.string()), first, np.zeros(len(low), np.int64)
+    found = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data[held])).dictionary_encode()
+    bounds = np.cumsum([0, *(len(x) + 1 for x in low)])
+    return found.dictionary, found.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(first, bounds))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: Counter[str] = Counter()
-        for text in batch["text"]:
-            counts.update(tokens(text.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    for batch in _slices(batches):
+        words, codes, _ = split(batch["text"])
+        held.append(pa.table({"word": words, "n": np.bincount(codes, minlength=len(words)).astype(np.int64)}))
+        rows += len(words)
+        if rows > MOST_WORDS:
+            held, rows = [summed()], 0
+            if held[0].num_rows > MOST_WORDS // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from summed().to_batches()
 
 
 class Words:
@@ -141,7 +213,11 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
 
 def _hidden(weights: list[np.ndarray], context: np.ndarray) -> np.ndarray:
     table, bias = weights[:2]
-    return np.maximum(sum(table[context[:, p] + _SHIFT[p]] for p in range(len(PLACES))) + bias, 0)
+    out = table[context[:, 0] + _SHIFT[0]]
+    for p in range(1, len(PLACES)):
+        out += np.take(table, context[:, p] + _SHIFT[p], axis=0)
+    out += bias
+    return np.maximum(out, 0, out=out)
 
 
 def log_probabilities(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -158,83 +234,198 @@ def _by_group(rest: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(g), order[edges[g] : edges[g + 1]]
 
 
+def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax at one place of each row."""
+    n = np.arange(len(at))
+    if len(at) and logits.max() < SAFE:
+        sums = np.exp(logits) @ np.ones(logits.shape[1], np.float32)
+        if sums.min() > TINY:
+            return logits[n, at] - np.log(sums)
+    return _log_softmax(logits)[n, at] if len(at) else np.empty(0, np.float32)
+
+
 def word_log_probabilities(weights: np.ndarray, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each id at its context: class, group in the class, word in the group."""
     parts = unpacked(weights)
-    hidden = _hidden(parts, context)
-    n = np.arange(len(ids))
-    out = _log_softmax(hidden @ parts[2] + parts[3])[n, np.minimum(ids, CLASSES - 1)]
     others = np.flatnonzero(ids >= CLASSES - 1)
-    rest, hidden = ids[others] - (CLASSES - 1), hidden[others]
-    more = _log_softmax(hidden @ parts[4] + parts[5])[np.arange(len(rest)), rest // MEMBERS]
+    rest, done = ids[others] - (CLASSES - 1), 0
+    out, more = np.empty(len(ids), np.float32), np.empty(len(others), np.float32)
+    kept = np.empty((len(others), HIDDEN), np.float32)
+    for s in range(0, len(ids), SCORED):
+        want = ids[s : s + SCORED]
+        hidden = _hidden(parts, context[s : s + SCORED])
+        out[s : s + SCORED] = _log_share(hidden @ parts[2] + parts[3], np.minimum(want, CLASSES - 1))
+        held = hidden[want >= CLASSES - 1]
+        kept[done : done + len(held)] = held
+        more[done : done + len(held)] = _log_share(held @ parts[4] + parts[5], rest[done : done + len(held)] // MEMBERS)
+        done += len(held)
     for g, at in _by_group(rest):
-        more[at] += _log_softmax(hidden[at] @ parts[6][g] + parts[7][g])[np.arange(len(at)), rest[at] % MEMBERS]
+        more[at] += _log_share(kept[at] @ parts[6][g] + parts[7][g], rest[at] % MEMBERS)
     out[others] += more
     return out
 
 
 def _error(logits: np.ndarray, want: np.ndarray) -> np.ndarray:
     """Gradient of the log loss by the logits."""
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    p = np.exp(logits)
+    sums = p @ np.ones(p.shape[1], np.float32)
+    if not (sums.min() > TINY and sums.max() < 1 / TINY):
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        sums = p.sum(axis=1)
+    p *= (1 / sums)[:, None]
     p[np.arange(len(want)), want] -= 1
     return p
 
 
+class _Laid:
+    """Where the rows of each batch stand, which no weight changes: those of groups of words, and those of context words.
+
+    Rows of a batch are in order of their groups. Of each group the first ``SIDE`` rows are laid side by side with
+    those of all groups, and the rest follows, for the groups that have more, in the width of the largest.
+    """
+
+    def __init__(self, sizes: np.ndarray, want: np.ndarray, places: np.ndarray):
+        n, n_batches = len(want), len(sizes)
+        flat = sizes.ravel()
+        rank = np.arange(n) - np.repeat(np.cumsum(flat) - flat, flat)
+        batch = np.arange(n) // BATCH
+        rest = np.maximum(want - (CLASSES - 1), 0)
+        self.group, self.member = rest // MEMBERS, rest % MEMBERS
+        self.big = sizes[:, 1:] > SIDE
+        self.width = np.maximum(sizes[:, 1:].max(axis=1, initial=0) - SIDE, 0)
+        beyond = GROUPS * SIDE + (np.cumsum(self.big, axis=1) - 1)[batch, self.group] * self.width[batch] + rank - SIDE
+        self.spot = np.where(rank < SIDE, self.group * SIDE + rank, beyond)
+        # Places of 16 bits sort by radix
+        short, order, rows = places.astype(np.uint16), [], []
+        for s in range(0, n, BATCH):
+            part = short[:, s : s + BATCH].ravel()
+            at = np.argsort(part, kind="stable")
+            order.append(part[at])
+            rows.append(at % min(BATCH, n - s))
+        ranked, rows = np.concatenate(order), np.concatenate(rows)
+        ends = np.minimum(np.arange(1, n_batches + 1) * BATCH, n) * len(PLACES)
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        new[ends[:-1]] = True
+        first = np.flatnonzero(new)
+        each = np.diff(np.append(first, len(ranked)))
+        lone = each == 1
+        at = ranked[first].astype(np.int64)
+        self.lone_rows, self.lone_at = rows[first[lone]], at[lone]
+        self.lone_ends = np.searchsorted(first[lone], np.append(0, ends))
+        self.many_at, self.many_rows = at[~lone], rows[np.repeat(~lone, each)]
+        sums = np.append(0, np.cumsum(each[~lone]))
+        self.many_ends = np.searchsorted(first[~lone], np.append(0, ends))
+        self.row_ends = sums[self.many_ends]
+        self.many_first = sums[:-1]
+
+    def word_step(self, b: int, words: np.ndarray, held: np.ndarray, s: int, e: int, rate: float) -> np.ndarray:
+        """One step of the outputs in each group, ``words`` (group, hidden and bias, member); the gradient by the hidden values."""
+        spot, big, width, edge = self.spot[s:e], np.flatnonzero(self.big[b]), int(self.width[b]), GROUPS * SIDE
+        laid = np.zeros((edge + len(big) * width, HIDDEN + 1), np.float32)
+        laid[spot] = held
+        logits = np.empty((len(laid), MEMBERS), np.float32)
+        near, far = laid[:edge].reshape(GROUPS, SIDE, -1), laid[edge:].reshape(len(big), width, HIDDEN + 1)
+        np.matmul(near, words, out=logits[:edge].reshape(GROUPS, SIDE, -1))
+        if len(big):
+            own = words[big]
+            np.matmul(far, own, out=logits[edge:].reshape(len(big), width, -1))
+        wrong = np.zeros_like(logits)
+        wrong[spot] = _error(np.take(logits, spot, axis=0), self.member[s:e])
+        by_side, beyond = wrong[:edge].reshape(GROUPS, SIDE, -1), wrong[edge:].reshape(len(big), width, MEMBERS)
+        back = np.empty((len(laid), HIDDEN), np.float32)
+        np.matmul(by_side, words[:, :HIDDEN].transpose(0, 2, 1), out=back[:edge].reshape(GROUPS, SIDE, -1))
+        if len(big):
+            np.matmul(beyond, own[:, :HIDDEN].transpose(0, 2, 1), out=back[edge:].reshape(len(big), width, -1))
+        laid *= rate
+        words -= np.matmul(near.transpose(0, 2, 1), by_side)
+        if len(big):
+            words[big] -= np.matmul(far.transpose(0, 2, 1), beyond)
+        return np.take(back, spot, axis=0)
+
+    def table_step(self, b: int, table: np.ndarray, step: np.ndarray) -> None:
+        """Subtracts from each place of the table the steps of its rows."""
+        s, e = self.lone_ends[b : b + 2]
+        at = self.lone_at[s:e]
+        table[at] = np.take(table, at, axis=0) - np.take(step, self.lone_rows[s:e], axis=0)
+        s, e = self.many_ends[b : b + 2]
+        if s < e:
+            at, (low, high) = self.many_at[s:e], self.row_ends[b : b + 2]
+            # Sums of two floats at a time, as complex numbers
+            many = np.take(step, self.many_rows[low:high], axis=0).view(np.complex64)
+            table[at] = np.take(table, at, axis=0) - np.add.reduceat(many, self.many_first[s:e] - low, axis=0).view(np.float32)
+
+
 def train(weights: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """One pass of stochastic gradient descent over the rows; ``target`` are ids."""
+    """One pass of stochastic gradient descent over the rows; ``target`` are ids.
+
+    The rows of a batch, whose order does not matter, stand by class and group. Matrices and biases are one
+    matrix each, as they lie beside each other in the weights; the hidden values end with a one.
+    """
     weights = weights.copy()
+    if not len(target):
+        return weights
     table, bias, out, base, group_out, group_base, word_out, word_base = unpacked(weights)
+    at = table.size + bias.size
+    classes = weights[at : at + out.size + base.size].reshape(HIDDEN + 1, CLASSES)
+    at += classes.size
+    groups = weights[at : at + group_out.size + group_base.size].reshape(HIDDEN + 1, GROUPS)
+    words = np.concatenate([word_out, word_base[:, None]], axis=1)
     # The step of one row; rarer outputs and context words, which few rows of a batch have, take larger ones
     rate = RATE / 256
-    for s in range(0, len(target), BATCH):
-        at, want = context[s : s + BATCH] + _SHIFT, target[s : s + BATCH]
-        before = table[at].sum(axis=1) + bias
-        hidden = np.maximum(before, 0)
-        p = _error(hidden @ out + base, np.minimum(want, CLASSES - 1))
-        back = p @ out.T
-        others = np.flatnonzero(want >= CLASSES - 1)
-        rest, held = want[others] - (CLASSES - 1), hidden[others]
-        q = _error(held @ group_out + group_base, rest // MEMBERS)
-        more = q @ group_out.T
-        group_out -= rate * 2 * held.T @ q
-        group_base -= rate * 2 * q.sum(axis=0)
-        for g, k in _by_group(rest):
-            r = _error(held[k] @ word_out[g] + word_base[g], rest[k] % MEMBERS)
-            more[k] += r @ word_out[g].T
-            word_out[g] -= rate * 8 * held[k].T @ r
-            word_base[g] -= rate * 8 * r.sum(axis=0)
-        back[others] += more
+    n_batches = -(-len(target) // BATCH)
+    key = np.arange(len(target)) // BATCH * (GROUPS + 1) + np.where(target < CLASSES - 1, 0, 1 + (target - (CLASSES - 1)) // MEMBERS)
+    sizes = np.bincount(key, minlength=n_batches * (GROUPS + 1)).reshape(-1, GROUPS + 1)
+    order = np.argsort(key.astype(np.uint16) if sizes.size < 1 << 16 else key, kind="stable")
+    want, places = target[order], np.ascontiguousarray((context[order] + _SHIFT).T)
+    laid, wanted = _Laid(sizes, want, places), np.minimum(want, CLASSES - 1)
+    met, hidden = np.empty((len(PLACES), BATCH, HIDDEN), np.float32), np.ones((BATCH, HIDDEN + 1), np.float32)
+    for b, s in enumerate(range(0, len(target), BATCH)):
+        e = min(s + BATCH, len(target))
+        held, before = hidden[: e - s], met[0, : e - s]
+        for k in range(len(PLACES)):
+            np.take(table, places[k, s:e], axis=0, out=met[k, : e - s], mode="clip")
+        for k in range(1, len(PLACES)):
+            before += met[k, : e - s]
+        before += bias
+        np.maximum(before, 0, out=held[:, :HIDDEN])
+        p = _error(held @ classes, wanted[s:e])
+        back = p @ classes[:HIDDEN].T
+        known = int(sizes[b, 0])
+        if known < e - s:
+            others = held[known:]
+            q = _error(others @ groups, laid.group[s + known : e])
+            back[known:] += q @ groups[:HIDDEN].T
+            groups -= rate * 2 * (others.T @ q)
+            back[known:] += laid.word_step(b, words, others, s + known, e, rate * 8)
         back *= before > 0
-        out -= rate * hidden.T @ p
-        base -= rate * p.sum(axis=0)
+        classes -= rate * (held.T @ p)
         bias -= rate * back.sum(axis=0)
-        flat = at.ravel()
-        order = np.argsort(flat)
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        table[flat[order[first]]] -= rate * 8 * np.add.reduceat(back[order // len(PLACES)], first, axis=0)
+        back *= rate * 8
+        laid.table_step(b, table, back)
+    word_out[:], word_base[:] = words[:, :HIDDEN], words[:, HIDDEN]
     return weights
 
 
-def _examples(words: Words):
-    """Chunks of ids with two PADs before and after each text; a text may go on in the next chunk."""
+def _examples(words: Words, documents: bool = False):
+    """The ids of some texts at a time, with two PADs before and after each text that has any.
+
+    With ``documents`` also the doc_id, the number of tokens and the sum of the shares of rare words of each text.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[int, float]] = {}
-        pads = np.full(2, PAD, np.int16)
-        for batch in batches:
-            parts = [pads]
-            for text in batch["text"]:
-                ids, _ = words.read(tokens(text.as_py()), seen)
-                if len(ids):
-                    parts += [ids.astype(np.int16), pads]
-                if len(seen) > 500_000:
-                    seen.clear()
-            ids = np.concatenate(parts)
-            # Chunks overlap by the two tokens that stand before and after their own
-            chunks = [ids[i : i + GROUP + 4].tobytes() for i in range(0, len(ids) - 4, GROUP)]
-            if chunks:
-                yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary())], names=["rows"])
+        for batch in _slices(batches):
+            distinct, codes, sizes = split(batch["text"])
+            ids, shares = words.read(distinct.to_pylist(), {})
+            some = sizes > 0
+            rows = np.full(2 + len(codes) + 2 * int(some.sum()), PAD, np.int16)
+            rows[2 + np.arange(len(codes)) + 2 * np.repeat(np.cumsum(some) - 1, sizes)] = ids[codes]
+            columns = {"rows": pa.array([rows.tobytes()], pa.binary())}
+            if documents:
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                sums = np.bincount(owner, shares[codes], minlength=len(sizes))
+                lists = {"doc_ids": (batch["doc_id"].to_pylist(), pa.int64()), "sizes": (sizes, pa.int64()), "shares": (sums, pa.float64())}
+                columns |= {name: pa.array([x], pa.list_(kind)) for name, (x, kind) in lists.items()}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return each
 
@@ -244,11 +435,14 @@ def _trained(weights: np.ndarray):
         now, n = weights, 0
         for batch in batches:
             for rows in batch["rows"]:
-                ids = np.frombuffer(rows.as_py(), np.int16).astype(np.int64)
-                spots = np.flatnonzero(ids[2:-2] != PAD) + 2
-                spots = np.random.default_rng(len(ids)).permutation(spots)
-                now = train(now, np.stack([ids[spots + p] for p in PLACES], axis=1), ids[spots])
-                n += len(spots)
+                every = np.frombuffer(rows.as_buffer(), np.int16).astype(np.int64)
+                # Chunks overlap by the two tokens that stand before and after their own
+                for i in range(0, len(every) - 4, GROUP):
+                    ids = every[i : i + GROUP + 4]
+                    spots = np.flatnonzero(ids[2:-2] != PAD) + 2
+                    spots = np.random.default_rng(len(ids)).permutation(spots)
+                    now = train(now, np.stack([ids[spots + p] for p in PLACES], axis=1), ids[spots])
+                    n += len(spots)
         if n:
             for b in range(0, len(now), BLOCK):
                 part = now[b : b + BLOCK].astype(np.float64) * n
@@ -264,11 +458,15 @@ def _add(frame: pd.DataFrame) -> pd.DataFrame:
 
 def fit(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> np.ndarray:
     """The averaged weights; blocks of fixed size come back each round."""
+    return fitted(cut(docs.select("text").mapInArrow(_examples(words), "rows binary")), words, rounds)
+
+
+def fitted(rows: DataFrame, words: Words, rounds: int = ROUNDS) -> np.ndarray:
+    """``fit`` on the written ids of the texts."""
     schema = "block long, n long, part binary"
-    rows = cut(docs.select("text").mapInArrow(_examples(words), "rows binary"))
     weights = start_weights(words.counts)
     for _ in range(rounds):
-        parts = rows.mapInArrow(_trained(weights), schema)
+        parts = rows.select("rows").mapInArrow(_trained(weights), schema)
         # Half sums first, so that no task adds up the parts of all others
         halves = parts.withColumn("h", (F.rand(1) * 16).cast("int")).groupBy("block", "h").applyInPandas(_add, schema)
         weights = weights.copy()
@@ -277,42 +475,29 @@ def fit(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> np.ndarray:
     return weights
 
 
-def _scored(words: Words, weights: np.ndarray):
-    def scores(group: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
-        context = np.concatenate([contexts(ids, np.arange(len(ids))) for ids, _ in group])
-        target = np.concatenate([ids for ids, _ in group])
-        own = np.concatenate([share for _, share in group])
-        each = np.empty(len(target))
-        for s in range(0, len(target), GROUP):
-            each[s : s + GROUP] = word_log_probabilities(weights, context[s : s + GROUP], target[s : s + GROUP])
-        ends = np.cumsum([0, *(len(ids) for ids, _ in group)])
-        return [float((each[a:b] + own[a:b]).sum()) for a, b in zip(ends, ends[1:])]
-
+def _scored(weights: np.ndarray):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[int, float]] = {}
         for batch in batches:
-            sizes, sums, group, held = [], [], [], 0
-            for text in batch["text"]:
-                read = words.read(tokens(text.as_py()), seen)
-                group.append(read)
-                sizes.append(len(read[0]))
-                held += len(read[0])
-                if held >= GROUP:
-                    sums += scores(group)
-                    group, held = [], 0
-            sums += scores(group) if group else []
-            if len(seen) > 500_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"])
+            for rows, doc_ids, sizes, shares in zip(batch["rows"], batch["doc_ids"], batch["sizes"], batch["shares"]):
+                ids = np.frombuffer(rows.as_buffer(), np.int16).astype(np.int64)
+                spots = np.flatnonzero(ids != PAD)
+                each = np.empty(len(spots))
+                for s in range(0, len(spots), GROUP):
+                    at = spots[s : s + GROUP]
+                    each[s : s + GROUP] = word_log_probabilities(weights, np.stack([ids[at + p] for p in PLACES], axis=1), ids[at])
+                size = sizes.values.to_numpy()
+                sums = np.bincount(np.repeat(np.arange(len(size)), size), each, minlength=len(size)) + shares.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([doc_ids.values, sizes.values, pa.array(sums)], names=["doc_id", "n_tokens", "log_likelihood"])
 
     return each
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over tokens), mean_log_likelihood; one row for each row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    words = vocabulary(rows)
-    weights = fit(rows, words)
-    out = rows.mapInArrow(_scored(words, weights), "doc_id long, n_tokens long, log_likelihood double")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    words = vocabulary(docs)
+    # Texts are split once for training and scoring
+    rows = cut(docs.mapInArrow(_examples(words, True), "rows binary, doc_ids array<long>, sizes array<long>, shares array<double>"))
+    out = rows.mapInArrow(_scored(fitted(rows, words)), "doc_id long, n_tokens long, log_likelihood double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.withColumn("mean_log_likelihood", mean)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from estratia.llm import leaks
+from estratia.llm import leaks, scoring
 
 
 def test_every_document_fits_the_latent_space(spark, monkeypatch):
@@ -40,3 +40,86 @@ def test_products_are_those_of_all_passages(spark):
     got = leaks._summed(texts, leaks._product(basis, weights), basis.shape)
     assert np.allclose(got, want, atol=1e-3 * np.abs(want).max())
     assert np.allclose(leaks._summed(texts, leaks._square(basis, weights), (7, 7)), basis.T @ want, rtol=1e-3, atol=1e-2)
+
+
+def plain_train(weights, context, target):
+    """Stochastic gradient descent one group of words at a time."""
+    weights = weights.copy()
+    table, bias, out, base, group_out, group_base, word_out, word_base = scoring.unpacked(weights)
+    rate, first = scoring.RATE / 256, scoring.CLASSES - 1
+
+    def wrong(logits, want):
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(want)), want] -= 1
+        return p
+
+    for s in range(0, len(target), scoring.BATCH):
+        at, want = context[s : s + scoring.BATCH] + scoring._SHIFT, target[s : s + scoring.BATCH]
+        before = table[at].sum(axis=1) + bias
+        hidden = np.maximum(before, 0)
+        p = wrong(hidden @ out + base, np.minimum(want, first))
+        back = p @ out.T
+        others = np.flatnonzero(want >= first)
+        if len(others):
+            rest, held = want[others] - first, hidden[others]
+            q = wrong(held @ group_out + group_base, rest // scoring.MEMBERS)
+            more = q @ group_out.T
+            group_out -= rate * 2 * held.T @ q
+            group_base -= rate * 2 * q.sum(axis=0)
+            for g in np.unique(rest // scoring.MEMBERS):
+                k = rest // scoring.MEMBERS == g
+                r = wrong(held[k] @ word_out[g] + word_base[g], rest[k] % scoring.MEMBERS)
+                more[k] += r @ word_out[g].T
+                word_out[g] -= rate * 8 * held[k].T @ r
+                word_base[g] -= rate * 8 * r.sum(axis=0)
+            back[others] += more
+        back *= before > 0
+        out -= rate * hidden.T @ p
+        base -= rate * p.sum(axis=0)
+        bias -= rate * back.sum(axis=0)
+        np.subtract.at(table, at, rate * 8 * back[:, None])
+    return weights
+
+
+def test_training_step_is_that_of_plain_loops():
+    rng = np.random.default_rng(6)
+    start = scoring.start_weights(np.arange(scoring.PAD, 0, -1) ** 1.5)
+    for n, words in ((1, 5), (700, 2304), (1_500, 90), (600, 62), (512, 2304)):
+        ids = np.minimum(rng.integers(0, words, n) * rng.integers(1, 4, n), scoring.PAD - 1)
+        around = rng.integers(0, scoring.PAD + 1, (n, 4)) // rng.integers(1, 200, (n, 1))
+        want = plain_train(start, around, ids)
+        assert np.abs(scoring.train(start, around, ids) - want).max() < 1e-4 < np.abs(want - start).max() * 10
+        # Logits beyond the range of single exponentials
+        far = start * 400
+        got = scoring.word_log_probabilities(far, around, ids)
+        assert np.isfinite(got).all() and np.isfinite(scoring.train(far, around, ids)).all()
+    assert (scoring.train(start, around[:0], ids[:0]) == start).all()
+
+
+def test_tokens_are_split_alike_and_once(spark):
+    rng = np.random.default_rng(8)
+    texts = ["".join(chr(c) for c in rng.integers(0, top, 60) if not 0xD800 <= c < 0xE000) for top in (128, 0x250, 0x3000, 0x110000) for _ in range(150)]
+    texts += ["", None, "ΑΣ Σ", "İx_y__ ½²\t  \x85\x1c„a“", "\n", "日本\U0001d4b3!"] + ["one, two"] * 3
+    words, codes, sizes = scoring.split(scoring.pa.array(texts))
+    want = [scoring.tokens(t) for t in texts]
+    assert [words[int(c)].as_py() for c in codes] == [w for x in want for w in x] and sizes.tolist() == [len(x) for x in want]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = scoring.vocabulary(docs)
+    row = scoring.score(docs.where("doc_id >= 600")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in row} == {i: len(x) for i, x in enumerate(want) if i >= 600}
+    counts = np.bincount(known.read([w for x in want for w in x], {})[0], minlength=scoring.PAD)
+    assert np.allclose(known.counts - 0.5, counts[: scoring.PAD], atol=0.5 * scoring.BUCKETS / scoring.RARE)
+
+
+def test_scores_are_sums_over_the_positions(spark, monkeypatch):
+    texts = ["a b, c a b", None, "", "b " * 700 + "rare1 rare2", "c"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b")], "doc_id long, text string").coalesce(1)
+    words = scoring.vocabulary(docs)
+    weights = scoring.fit(docs, words)
+    monkeypatch.setattr(scoring, "fitted", lambda rows, words: weights)
+    got = {r["doc_id"]: r["log_likelihood"] for r in scoring.score(docs).collect()}
+    for i, t in [*enumerate(texts), (None, "a b")]:
+        ids, shares = words.read(scoring.tokens(t), {})
+        each = scoring.word_log_probabilities(weights, scoring.contexts(ids, np.arange(len(ids))), ids) if len(ids) else np.zeros(0)
+        assert abs(got[i] - each.astype(float).sum() - shares.sum()) < 1e-3
