@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,6 +156,13 @@ class Words:
         both = [seen[w] for w in found]
         return np.array([b[0] for b in both], np.int64), np.array([b[1] for b in both])
 
+    def of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``read`` for an array of words."""
+        codes = np.fromiter(map(zlib.crc32, distinct.cast(pa.binary()).to_pylist()), np.int64, len(distinct))
+        known = pa.array(list(self.ids), pa.string())
+        at = pc.fill_null(pc.index_in(distinct, value_set=known), -1).to_numpy()
+        return np.where(at < 0, KNOWN + codes % RARE, at), np.where(at < 0, self.shares[codes % BUCKETS], 0.0)
+
 
 def vocabulary(docs: DataFrame) -> Words:
     """Counts over all documents; at most KNOWN words and BUCKETS sums come back."""
@@ -415,7 +423,7 @@ def _examples(words: Words, documents: bool = False):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             distinct, codes, sizes = split(batch["text"])
-            ids, shares = words.read(distinct.to_pylist(), {})
+            ids, shares = words.of(distinct)
             some = sizes > 0
             rows = np.full(2 + len(codes) + 2 * int(some.sum()), PAD, np.int16)
             rows[2 + np.arange(len(codes)) + 2 * np.repeat(np.cumsum(some) - 1, sizes)] = ids[codes]

@@ -108,6 +108,8 @@ def test_tokens_are_split_alike_and_once(spark):
     known = scoring.vocabulary(docs)
     row = scoring.score(docs.where("doc_id >= 600")).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in row} == {i: len(x) for i, x in enumerate(want) if i >= 600}
+    ids, shares = known.of(words)
+    assert all((i, x) == tuple(float(y[0]) for y in known.read([w], {})) for w, i, x in zip(words.to_pylist(), ids, shares))
     counts = np.bincount(known.read([w for x in want for w in x], {})[0], minlength=scoring.PAD)
     assert np.allclose(known.counts - 0.5, counts[: scoring.PAD], atol=0.5 * scoring.BUCKETS / scoring.RARE)
 
