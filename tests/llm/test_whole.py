@@ -4,6 +4,8 @@ import numpy as np
 
 from estratia.llm import leaks, scoring
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def test_every_document_fits_the_latent_space(spark, monkeypatch):
     docs = spark.range(9_000).selectExpr("id as doc_id", "concat('w', id, ' v', id % 7, ' u', id % 31) as text")
@@ -19,6 +21,22 @@ def test_every_document_fits_the_latent_space(spark, monkeypatch):
     assert fitted == [9_002]
 
 
+def test_every_document_of_the_pipeline_fits_the_latent_space(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.range(6_000).selectExpr("id as doc_id", "concat('w', id, ' v', id % 7, ' u', id % 31) as text")
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("text is not null").count()
+    fitted, space = [], leaks.latent_space
+
+    def watched(texts, weights, *rest):
+        fitted.append(texts.count())
+        return space(texts, weights, *rest)
+
+    monkeypatch.setattr(leaks, "latent_space", watched)
+    assert corpus_pipeline.without_benchmark(spark, docs, SMALL).count() == 6_000
+    assert fitted == [6_000 + items]
+
+
 def test_products_are_those_of_all_passages(spark):
     rng = np.random.default_rng(4)
     sizes = [0, 1, 15, 16, 17, 32, 33, 48, 49, 700, 2_500, 31]
