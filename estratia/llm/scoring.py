@@ -414,43 +414,72 @@ def train(weights: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.nd
     return weights
 
 
+def _chunks(rows: Iterator[tuple[np.ndarray, bool]]) -> Iterator[np.ndarray]:
+    """``GROUP`` ids at a time, and the two before and after them, of rows that go on up to one that is the last."""
+    held = np.empty(0, np.int16)
+    for ids, last in rows:
+        # One pair of PADs stands between the texts of two rows
+        held = np.concatenate([held, ids[2:] if len(held) else ids])
+        while len(held) - 4 > GROUP:
+            yield held[: GROUP + 4]
+            held = held[GROUP:]
+        if last:
+            if len(held) > 4:
+                yield held
+            held = held[:0]
+    if len(held) > 4:
+        yield held
+
+
 def _examples(words: Words, documents: bool = False):
-    """The ids of some texts at a time, with two PADs before and after each text that has any.
+    """Chunks of ids with two PADs before and after each text; a text may go on in the next chunk.
 
-    With ``documents`` also the doc_id, the number of tokens and the sum of the shares of rare words of each text.
+    With ``documents`` the ids of some whole texts at a time, whether these are the last read together, and the doc_id, the
+    number of tokens and the sum of the shares of rare words of each text.
     """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            distinct, codes, sizes = split(batch["text"])
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bool, dict]]:
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            distinct, codes, sizes = split(part["text"])
             ids, shares = words.of(distinct)
             some = sizes > 0
             rows = np.full(2 + len(codes) + 2 * int(some.sum()), PAD, np.int16)
             rows[2 + np.arange(len(codes)) + 2 * np.repeat(np.cumsum(some) - 1, sizes)] = ids[codes]
-            columns = {"rows": pa.array([rows.tobytes()], pa.binary())}
+            texts = {}
             if documents:
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 sums = np.bincount(owner, shares[codes], minlength=len(sizes))
-                lists = {"doc_ids": (batch["doc_id"].to_pylist(), pa.int64()), "sizes": (sizes, pa.int64()), "shares": (sums, pa.float64())}
-                columns |= {name: pa.array([x], pa.list_(kind)) for name, (x, kind) in lists.items()}
-            yield pa.RecordBatch.from_pydict(columns)
+                lists = {"doc_ids": (part["doc_id"].to_pylist(), pa.int64()), "sizes": (sizes, pa.int64()), "shares": (sums, pa.float64())}
+                texts = {name: pa.array([x], pa.list_(kind)) for name, (x, kind) in lists.items()}
+            yield rows, at + TEXTS >= batch.num_rows, texts
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if documents:
+                for rows, last, texts in read(batch):
+                    yield pa.RecordBatch.from_pydict({"rows": pa.array([rows.tobytes()], pa.binary()), "last": pa.array([last]), **texts})
+            else:
+                for rows in _chunks((rows, last) for rows, last, _ in read(batch)):
+                    yield pa.RecordBatch.from_pydict({"rows": pa.array([rows.tobytes()], pa.binary())})
 
     return each
 
 
 def _trained(weights: np.ndarray):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bool]]:
+        for batch in batches:
+            for rows, last in zip(batch["rows"], batch["last"].to_pylist()):
+                yield np.frombuffer(rows.as_buffer(), np.int16), last
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n = weights, 0
-        for batch in batches:
-            for rows in batch["rows"]:
-                every = np.frombuffer(rows.as_buffer(), np.int16).astype(np.int64)
-                # Chunks overlap by the two tokens that stand before and after their own
-                for i in range(0, len(every) - 4, GROUP):
-                    ids = every[i : i + GROUP + 4]
-                    spots = np.flatnonzero(ids[2:-2] != PAD) + 2
-                    spots = np.random.default_rng(len(ids)).permutation(spots)
-                    now = train(now, np.stack([ids[spots + p] for p in PLACES], axis=1), ids[spots])
-                    n += len(spots)
+        for chunk in _chunks(read(batches)):
+            ids = chunk.astype(np.int64)
+            spots = np.flatnonzero(ids[2:-2] != PAD) + 2
+            spots = np.random.default_rng(len(ids)).permutation(spots)
+            now = train(now, np.stack([ids[spots + p] for p in PLACES], axis=1), ids[spots])
+            n += len(spots)
         if n:
             for b in range(0, len(now), BLOCK):
                 part = now[b : b + BLOCK].astype(np.float64) * n
@@ -466,7 +495,8 @@ def _add(frame: pd.DataFrame) -> pd.DataFrame:
 
 def fit(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> np.ndarray:
     """The averaged weights; blocks of fixed size come back each round."""
-    return fitted(cut(docs.select("text").mapInArrow(_examples(words), "rows binary")), words, rounds)
+    chunks = cut(docs.select("text").mapInArrow(_examples(words), "rows binary"))
+    return fitted(chunks.withColumn("last", F.lit(True)), words, rounds)
 
 
 def fitted(rows: DataFrame, words: Words, rounds: int = ROUNDS) -> np.ndarray:
@@ -474,7 +504,7 @@ def fitted(rows: DataFrame, words: Words, rounds: int = ROUNDS) -> np.ndarray:
     schema = "block long, n long, part binary"
     weights = start_weights(words.counts)
     for _ in range(rounds):
-        parts = rows.select("rows").mapInArrow(_trained(weights), schema)
+        parts = rows.select("rows", "last").mapInArrow(_trained(weights), schema)
         # Half sums first, so that no task adds up the parts of all others
         halves = parts.withColumn("h", (F.rand(1) * 16).cast("int")).groupBy("block", "h").applyInPandas(_add, schema)
         weights = weights.copy()
@@ -505,7 +535,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     words = vocabulary(docs)
     # Texts are split once for training and scoring
-    rows = cut(docs.mapInArrow(_examples(words, True), "rows binary, doc_ids array<long>, sizes array<long>, shares array<double>"))
+    rows = cut(docs.mapInArrow(_examples(words, True), "rows binary, last boolean, doc_ids array<long>, sizes array<long>, shares array<double>"))
     out = rows.mapInArrow(_scored(fitted(rows, words)), "doc_id long, n_tokens long, log_likelihood double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.withColumn("mean_log_likelihood", mean)

@@ -143,3 +143,22 @@ def test_scores_are_sums_over_the_positions(spark, monkeypatch):
         ids, shares = words.read(scoring.tokens(t), {})
         each = scoring.word_log_probabilities(weights, scoring.contexts(ids, np.arange(len(ids))), ids) if len(ids) else np.zeros(0)
         assert abs(got[i] - each.astype(float).sum() - shares.sum()) < 1e-3
+
+
+def test_chunks_do_not_depend_on_how_texts_are_taken_together(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in rng.integers(0, 40, 60)]
+    batch = scoring.pa.record_batch({"text": scoring.pa.array(texts), "doc_id": scoring.pa.array(range(60))})
+    known = scoring.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
+    monkeypatch.setattr(scoring, "GROUP", 100)
+    whole = [scoring.PAD, scoring.PAD]
+    for t in texts:
+        ids = known.read(scoring.tokens(t), {})[0].tolist()
+        whole += [*ids, scoring.PAD, scoring.PAD] if ids else []
+    want = [whole[i : i + 104] for i in range(0, len(whole) - 4, 100)]
+    for taken in (1, 7, 512):
+        monkeypatch.setattr(scoring, "TEXTS", taken)
+        got = [np.frombuffer(r["rows"][0].as_py(), np.int16).tolist() for r in scoring._examples(known)(iter([batch]))]
+        assert got == want
+        rows = [(np.frombuffer(r["rows"][0].as_py(), np.int16), r["last"][0].as_py()) for r in scoring._examples(known, True)(iter([batch, batch]))]
+        assert [c.tolist() for c in scoring._chunks(iter(rows))] == want * 2
